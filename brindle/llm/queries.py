@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import representative, turns
+from brindle.llm import encodings, representative, turns
 from brindle.llm.sql import SQL  # noqa: F401
 from brindle.session import read
 
@@ -26,4 +26,12 @@ def p2_merged(spark: SparkSession, root: str) -> DataFrame:
     return representative.merged_opinions(read(spark, root, "opinion_text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_merged)}
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return encodings.restored(read(spark, root, "documents")).select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, root: str) -> DataFrame:
+    return encodings.restored(read(spark, root, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_merged, p10_found, p10_restored)}
