@@ -58,6 +58,13 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over enough partitions for work that is heavy per row. A table of few files is dealt out
+    again; one with several partitions for each core, as at scale, is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 3 * cores else df.repartition(4 * cores)
+
+
 def numeric_key(ref: Column) -> Column:
     """The number an id names, as digits without leading zeros ('cluster:7', ' 007', '7.0' are
     all '7'). Null and blank give null; an id without digits stays as its trimmed text."""
