@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import encodings, leaks, representative, turns
+from brindle.llm import encodings, leaks, markup, representative, turns
 from brindle.llm.sql import SQL  # noqa: F401
 from brindle.session import read
 
@@ -26,6 +26,14 @@ def p2_merged(spark: SparkSession, root: str) -> DataFrame:
     return representative.merged_opinions(read(spark, root, "opinion_text"))
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return markup.found(read(spark, root, "text_asset"))
+
+
+def p6_clean(spark: SparkSession, root: str) -> DataFrame:
+    return markup.cleaned(read(spark, root, "text_asset")).select("text_id", "family", "marked", "text")
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks.leaks(read(spark, root, "documents"), read(spark, root, "benchmark")).select("doc_id", "item_id").distinct()
 
@@ -38,4 +46,4 @@ def p10_restored(spark: SparkSession, root: str) -> DataFrame:
     return encodings.restored(read(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_merged, p9_found, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_merged, p6_found, p6_clean, p9_found, p10_found, p10_restored)}
