@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import encodings, leaks, markup, representative, turns
+from brindle.llm import encodings, leaks, markup, names, packing, representative, turns
 from brindle.llm.sql import SQL  # noqa: F401
 from brindle.session import read
 
@@ -34,6 +34,22 @@ def p6_clean(spark: SparkSession, root: str) -> DataFrame:
     return markup.cleaned(read(spark, root, "text_asset")).select("text_id", "family", "marked", "text")
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return names.linked_pairs(read(spark, root, "person"))
+
+
+def p7_entities(spark: SparkSession, root: str) -> DataFrame:
+    return names.resolve(read(spark, root, "person"))
+
+
+def p8_packed(spark: SparkSession, root: str) -> DataFrame:
+    return packing.packed(read(spark, root, "documents"), read(spark, root, "pack_capacity"))
+
+
+def p8_fill(spark: SparkSession, root: str) -> DataFrame:
+    return packing.fills(p8_packed(spark, root), read(spark, root, "pack_capacity"))
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks.leaks(read(spark, root, "documents"), read(spark, root, "benchmark")).select("doc_id", "item_id").distinct()
 
@@ -46,4 +62,4 @@ def p10_restored(spark: SparkSession, root: str) -> DataFrame:
     return encodings.restored(read(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_merged, p6_found, p6_clean, p9_found, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_merged, p6_found, p6_clean, p7_found, p7_entities, p8_packed, p8_fill, p9_found, p10_found, p10_restored)}
