@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import encodings, leaks, linkage, markup, names, packing, representative, turns
+from brindle.llm import encodings, leaks, linkage, markup, names, packing, representative, scans, turns
 from brindle.llm.sql import SQL  # noqa: F401
 from brindle.session import read
 
@@ -26,6 +26,14 @@ def p2_merged(spark: SparkSession, root: str) -> DataFrame:
     return representative.merged_opinions(read(spark, root, "opinion_text"))
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return scans.noise(read(spark, root, "image_asset"))
+
+
+def p3_pages(spark: SparkSession, root: str) -> DataFrame:
+    return scans.clean_pages(read(spark, root, "image_asset"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return linkage.matches(read(spark, root, "proceeding"), read(spark, root, "raw_proceeding")).select("proceeding_id", "raw_id")
 
@@ -70,4 +78,4 @@ def p10_restored(spark: SparkSession, root: str) -> DataFrame:
     return encodings.restored(read(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_merged, p5_found, p5_matches, p6_found, p6_clean, p7_found, p7_entities, p8_packed, p8_fill, p9_found, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_merged, p3_found, p3_pages, p5_found, p5_matches, p6_found, p6_clean, p7_found, p7_entities, p8_packed, p8_fill, p9_found, p10_found, p10_restored)}
