@@ -20,6 +20,7 @@ from brindle.operators import derive
 from brindle.operators.judge import Judge, KeywordJudge
 from brindle.operators.retrieve import nearest, token_overlap
 from brindle.plans import ir
+from brindle.plans.planner import shared
 
 
 @dataclass
@@ -275,10 +276,7 @@ class Compiler:
 
     def _union(self, p: ir.Union) -> DataFrame:
         """Branches share everything below the OR: one pass with a masked condition, nothing to dedup."""
-        base = p.children[0]
-        depth = _below(p)
-        for _ in range(depth):
-            base = base.inputs[0]
+        base = shared(p)
         df = self.node(base)
         return df.where(self.condition(p.condition, df))
 
@@ -312,15 +310,6 @@ class Compiler:
         return blocked_join(left, right, self.column(p.left_field, left), self.column(p.right_field, right), left.columns[0], right.columns[0], p.block_top_k)
 
 
-def _below(p: ir.Union) -> int:
-    """How many operators a branch puts above the part all branches share."""
-    chains = [ir.pipeline(c) for c in p.children]
-    same = 0
-    while all(len(c) > same for c in chains) and len({c[same] for c in chains}) == 1:
-        same += 1
-    return len(chains[0]) - same
-
-
 def _fold(items, f, join):
     out = None
     for x in items:
