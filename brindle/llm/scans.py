@@ -90,8 +90,8 @@ def furniture_of(lines: list[str], recurring: set[str], known: set[str]) -> set[
     for run in (full[:EDGE], full[::-1][:EDGE]):
         for i in run:
             key = edge_key(lines[i])
-            short = len(lines[i].strip()) <= 100
-            if _FORMS.fullmatch(lines[i]) or (short and len(key) >= 3 and not _HEADING.fullmatch(lines[i]) and (key in known or key in recurring)):
+            short = len(lines[i].strip()) <= 120
+            if short and (_FORMS.fullmatch(lines[i]) or (len(key) >= 3 and not _HEADING.fullmatch(lines[i]) and (key in known or key in recurring))):
                 found.add(i)
             else:
                 break
@@ -130,7 +130,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(words) > 300_000:
             yield pd.DataFrame({"k": list(words), "n": list(words.values())})
             words = Counter()
-    yield pd.DataFrame({"k": list(words), "n": list(words.values())})
+    if words:
+        yield pd.DataFrame({"k": list(words), "n": list(words.values())})
 
 
 class Model:
@@ -401,7 +402,8 @@ def _edge_rows(pages: DataFrame) -> DataFrame:
             for image, doc, page, text in zip(pdf.image_id, pdf.document_id, pdf.page_number, pdf.ocr_text):
                 body = re.sub(r"\W+", "", text)
                 out += [(image, doc, key, f"{hash_of(body)}", page) for key in dict.fromkeys(k for _, k in edges_of(lines_of(text))) if len(key) >= 3]
-            yield pd.DataFrame(out, columns=["image_id", "document_id", "key", "h", "page"]).astype({"page": "Int32", "document_id": "Int64"})
+            if out:
+                yield pd.DataFrame(out, columns=["image_id", "document_id", "key", "h", "page"]).astype({"page": "Int32", "document_id": "Int64"})
 
     return pages.mapInPandas(run, "image_id bigint, document_id bigint, key string, h string, page int")
 
@@ -447,7 +449,8 @@ def noise(images: DataFrame) -> DataFrame:
             out = []
             for image, text, keys in zip(pdf.image_id, pdf.ocr_text, pdf["keys"]):
                 out += [(image, i + 1, kind) for i, kind, _ in read_page(text, set(keys if keys is not None else ()), known, corrector) if kind]
-            yield pd.DataFrame(out, columns=["image_id", "line_no", "noise"])
+            if out:
+                yield pd.DataFrame(out, columns=["image_id", "line_no", "noise"])
 
     return pages.select("image_id", "ocr_text", "keys").mapInPandas(run, "image_id bigint, line_no bigint, noise string").distinct()
 

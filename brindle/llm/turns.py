@@ -48,7 +48,7 @@ def clean_speech(text: str | None) -> str:
     """The spoken words of a piece: no stamps, sound notes, fillers or stuttered repeats."""
     text = _NOTE.sub(" ", _STAMP.sub(" ", text or ""))
     text = _FILLER.sub(" ", text)
-    text = re.sub(r"\b([\w'’-]+)(?:\s+\1\b)+", r"\1", text)
+    text = re.sub(r"\b([\w'’-]{1,40})(?:\s+\1\b)+", r"\1", text)
     text = re.sub(r"\s+([,.;:?!])", r"\1", re.sub(r"\s+", " ", text)).strip()
     text = re.sub(r"^(?:[-–—,.;]+\s*)+|\s*(?:--|–|—)+$", "", text).strip()
     return text if _WORD.search(text) else ""
