@@ -5,6 +5,7 @@ Each goes through the whole engine: checks, planner, compiler.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,17 +33,20 @@ def joined(first: TableRef, *steps: tuple[TableRef, str, str]):
     return at
 
 
-def add(name: str, sql: str, select: list, source, where=None, group_by: list | None = None, limit: int | None = None, rename: dict[str, str] | None = None) -> None:
+def plain(label: str) -> str:
+    """A printed expression as a column name without punctuation."""
+    return re.sub(r"\W+", "_", label).strip("_")
+
+
+def add(name: str, sql: str, select: list, source, where=None, group_by: list | None = None, limit: int | None = None) -> None:
     fields = tuple(ref(s) if isinstance(s, str) else s for s in select)
     query = Query(fields, source, where, tuple(ref(g) if isinstance(g, str) else g for g in group_by or ()), limit)
 
     def run(spark: SparkSession, root: str) -> DataFrame:
         df = testdata_engine(spark, root).query(query)
-        for old, new in (rename or {}).items():
-            df = df.withColumnRenamed(old, new)
-        return df
+        return df.toDF(*map(plain, df.columns))
 
-    QUERIES[name], SQL[name] = run, sql
+    QUERIES[name], SQL[name] = run, re.sub(r'as "([^"]+)"', lambda m: f'as "{plain(m[1])}"', sql)
 
 
 L, O = table("lineitem", "l"), table("orders", "o")  # noqa: E741

@@ -69,7 +69,7 @@ def test_entry_points(spark, root):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
-    assert e.entry(spark).columns == ["d.doc_id"]
+    assert e.entry(spark).columns == ["d_doc_id"]
 
 
 def test_language_queries_match_duckdb(spark, root):
