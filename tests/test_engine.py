@@ -181,3 +181,24 @@ def test_keywords_and_phrase():
 def test_keyword_judge_is_null_on_blank(spark):
     df = spark.createDataFrame([("",), (None,), ("a bond",)], "t string")
     assert [r[0] for r in df.select(KeywordJudge().column(df.t, "bond")).collect()] == [None, None, True]
+
+
+def test_legal_registry_checks_and_plans_three_modalities():
+    from brindle.catalog.legal import legal_registry
+
+    reg = legal_registry()
+    assert len(reg.tables) == 8 and len(reg.edges) == 7
+    c, k, o = TableRef("cluster", "c"), TableRef("docket", "k"), TableRef("opinion", "o")
+    f = lambda s: FieldRef(s.split(".")[0], tuple(s.split(".")[1:]))
+    source = Join(Comparison("=", f("o.cluster_id"), f("c.id")), Join(Comparison("=", f("c.docket_id"), f("k.id")), c, k), o)
+    where = And((Comparison("=", f("k.court_id"), "ca9"), Comparison(">=", f("c.date_filed"), Date("2015-01-01")), Fuzzy(f("o.plain_text"), "excessive force"), Fuzzy(Unnest(f("c.scan_pages")), "a photo"), Fuzzy(Unnest(f("k.argument")), "a concession")))
+    q = Query((f("c.id"), f("c.case_name")), source, where)
+    assert checks.validate(q, reg) == []
+    planned = planner.optimize(q, reg)
+    assert not planned.blocked and len(ir.pipeline(planned.plan)[0].pushed) == 2
+    judged = [x for x in ir.pipeline(planned.plan) if isinstance(x, ir.SemanticFilter)]
+    assert {x.judgement for x in judged} == {"SEM", "VISUAL", "AUDIO"} and sum(x.early_exit for x in judged) == 2
+    est = cost.Estimator(cost.Stats(rows={"cluster": 32_000}))
+    naive = planner.bind(planned.snapshots["lowered"], est)[0]
+    calls = lambda p: sum(s.model_calls for s in est.funnel(p))
+    assert calls(planned.plan) < calls(naive)
