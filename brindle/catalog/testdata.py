@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from brindle.catalog.registry import FieldSpec, Registry, table_from_schema
 from brindle.session import read
@@ -18,7 +18,9 @@ EDGES = (
 )
 
 
-def testdata_registry(spark: SparkSession, root: str) -> Registry:
+def testdata_registry(spark: SparkSession, root: str, frames: dict[str, DataFrame] | None = None) -> Registry:
+    """The registry of all tables, or of the given ones, whose schemas are then not read again."""
+    frames = frames if frames is not None else {name: read(spark, root, name) for name in KEYS}
     overlays = {
         "documents": {"text": FieldSpec("text", "TEXT", embeddable=True), "title": FieldSpec("title", "TEXT"), "chunks": FieldSpec("chunks", "TEXT_CHUNKED", "chunk", 30, derivation="CHUNK", source_field="text")},
         "text_asset": {"plain_text": FieldSpec("plain_text", "TEXT", embeddable=True), "parsed": FieldSpec("parsed", "DOC_SCAN", derivation="DOC_PARSE", source_field="html")},
@@ -27,6 +29,6 @@ def testdata_registry(spark: SparkSession, root: str) -> Registry:
         "opinion_text": {"plain_text": FieldSpec("plain_text", "TEXT", embeddable=True)},
         "benchmark": {"text": FieldSpec("text", "TEXT", embeddable=True)},
     }
-    tables = [table_from_schema(name, key, read(spark, root, name).schema, **overlays.get(name, {})) for name, key in KEYS.items()]
+    tables = [table_from_schema(name, key, frames[name].schema, **overlays.get(name, {})) for name, key in KEYS.items() if name in frames]
     side = lambda s: (s.split(".")[0], tuple(s.split(".")[1:]))
-    return Registry("testdata", tables, [(side(a), side(b)) for a, b in EDGES])
+    return Registry("testdata", tables, [(side(a), side(b)) for a, b in EDGES if {side(a)[0], side(b)[0]} <= set(frames)])

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.catalog.registry import Registry
-from brindle.catalog.testdata import testdata_registry
+from brindle.catalog.testdata import KEYS, testdata_registry
 from brindle.lang import checks, typecheck, wire
 from brindle.lang import nodes as n
 from brindle.operators.judge import Judge
@@ -102,6 +102,7 @@ class Engine:
         return result
 
 
-def testdata_engine(spark: SparkSession, root: str) -> Engine:
-    reg = testdata_registry(spark, root)
-    return Engine(reg, {name: read(spark, root, name) for name in reg.tables})
+def testdata_engine(spark: SparkSession, root: str, only: tuple[str, ...] | None = None) -> Engine:
+    """An engine over the project's tables, or over some of them: only their files are opened."""
+    frames = {name: read(spark, root, name) for name in only or KEYS}
+    return Engine(testdata_registry(spark, root, frames), frames)

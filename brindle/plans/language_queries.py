@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.engine import testdata_engine
-from brindle.lang.nodes import Aggregator, And, Between, Comparison, Date, FieldRef, Fuzzy, InList, Join, Like, Not, Or, Query, TableRef, Unnest
+from brindle.lang.nodes import Aggregator, And, Between, Comparison, Date, FieldRef, Fuzzy, InList, Join, Like, Not, Or, Query, TableRef, Unnest, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,10 +40,11 @@ def plain(label: str) -> str:
 
 def add(name: str, sql: str, select: list, source, where=None, group_by: list | None = None, limit: int | None = None) -> None:
     fields = tuple(ref(s) if isinstance(s, str) else s for s in select)
+    used = tuple(dict.fromkeys(t.name for t in tables(source)))
     query = Query(fields, source, where, tuple(ref(g) if isinstance(g, str) else g for g in group_by or ()), limit)
 
     def run(spark: SparkSession, root: str) -> DataFrame:
-        df = testdata_engine(spark, root).query(query)
+        df = testdata_engine(spark, root, used).query(query)
         return df.toDF(*map(plain, df.columns))
 
     QUERIES[name], SQL[name] = run, re.sub(r'as "([^"]+)"', lambda m: f'as "{plain(m[1])}"', sql)
