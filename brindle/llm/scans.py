@@ -9,8 +9,9 @@ best sequence of candidates of a line is decoded by Viterbi under the corpus' wo
 Names, which no word list holds, compete by a character trigram model trained on the corpus' names.
 
 Scale: two narrow passes count words, bigrams and edge lines over all pages (partial aggregation
-before the shuffle); only entries above a share of all tokens are kept for the broadcast model, so
-its size is bounded by 1 / SHARE whatever the corpus. Edge lines that recur in a document come back
+before the shuffle). Every word counts, however rare in the corpus, so results don't hang on its size;
+the broadcast counts take 12 bytes for each distinct word and each bigram seen three times, and
+confusions and name trigrams are summed up where the counts lie. Edge lines that recur in a document come back
 to its pages by a join that keeps heavy keys out of the shuffle.
 
 Defined results: null and empty pages have no lines; lines are split at line feeds and counted from 1
@@ -26,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from brindle.operators.hot_join import hot_join
 from brindle.session import settle, spread
 
-#: Words and bigrams below this share of all tokens are left out of the model.
-SHARE = 2e-6
+#: Bigrams seen less often, in a corpus of any size, say nothing about their words.
+LEAST_BIGRAM = 3
 #: Non-blank lines at either end of a page that may be furniture.
 EDGE = 3
 #: Documents that must repeat an edge line before it counts as furniture elsewhere too.
@@ -124,6 +126,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 inner = own[:-1] if hyphen_end(line) else own
                 words.update("w " + w for w in inner)
                 low = [w.lower() for w in inner]
+                words.update("l " + w for w in low)
                 words.update(f"b {a} {b}" for a, b in zip(low, low[1:]))
                 # suspended words: a hyphen in mid-line before a conjunction
                 words.update("s " + m[1].lower() for m in re.finditer(rf"(\w+)- (?:{'|'.join(_SUSPENDED_BY)})\b", line))
@@ -134,34 +137,72 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"k": list(words), "n": list(words.values())})
 
 
+def hash_of(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text) >> 1
+
+
+class Counts:
+    """Counts of all keys ('w Word', 'l word', 'b two words', 's suspended') as sorted hashes."""
+
+    def __init__(self, hashes: np.ndarray, n: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.n = hashes[order], n[order].astype(np.int64 if len(n) and n.max() > 2**31 - 1 else np.int32)
+
+    def many(self, keys: list[str]) -> list[int]:
+        if not len(self.hashes):
+            return [0] * len(keys)
+        wanted = np.fromiter(map(hash_of, keys), dtype=np.int64, count=len(keys))
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == wanted, self.n[at], 0).tolist()
+
+
 class Model:
-    """Noisy channel and language model; picklable, of bounded size."""
+    """Noisy channel and language model over a table of counts; picklable."""
 
-    def __init__(self, counts: dict[str, int], total: int):
-        self.total = max(1, total)
+    def __init__(self, counts: Counts | dict[str, int], total: int):
+        if isinstance(counts, dict):
+            counts = Counts(np.array([hash_of(k) for k in counts], dtype=np.int64), np.array(list(counts.values()), dtype=np.int64))
+        self.counts, self.total = counts, max(1, total)
         self.memory: dict[str, list[tuple[str, float]]] = {}
-        self.cased = Counter({k[2:]: n for k, n in counts.items() if k[0] == "w"})
-        self.words: Counter = Counter()
-        for w, n in self.cased.items():
-            self.words[w.lower()] += n
-        self.bigrams = {tuple(k[2:].split(" ")): n for k, n in counts.items() if k[0] == "b"}
-        self.suspended = {k[2:] for k in counts if k[0] == "s"}
-        frequent = [w for w, n in self.words.items() if n >= 300 and len(w) > 2 and w.isalpha()]
-        self.chance: dict[tuple[str, str], float] = {}
-        for true, seen in CONFUSIONS:
-            hits = uses = 0
-            for w in frequent:
-                for v in _edit(w, true, seen):
-                    n = self.words.get(v, 0)
-                    if n <= 0.03 * self.words[w]:
-                        hits, uses = hits + n, uses + self.words[w]
-            self.chance[true, seen] = min(0.02, max(2e-5, hits / uses if uses >= 20_000 else PRIOR))
-        # what is left of a word's count once the misreadings of others are taken off
-        self.clean: dict[str, float] = {}
-        for w, n in self.words.items():
-            noise = sum(self.words[v] * p for v, p in self.sources(w) if self.words.get(v, 0) > n)
-            self.clean[w] = max(0.02, n - 3 * noise)
-        self._names()
+        self.looked: dict[str, int] = {}
+        self.left: dict[str, float] = {}
+        self.chance = {pair: PRIOR for pair in CONFUSIONS}
+        self.grams: dict[str, int] = {}
+        self.heads: dict[str, int] = {}
+
+    def count(self, key: str) -> int:
+        if key not in self.looked:
+            self.prefetch([key])
+        return self.looked[key]
+
+    def prefetch(self, keys: list[str]) -> None:
+        """Look up many keys at once."""
+        if len(self.looked) > 500_000:
+            self.looked.clear()
+        self.looked.update(zip(keys, self.counts.many(keys)))
+
+    def estimate(self, hits: dict[int, int], uses: dict[int, int]) -> None:
+        """Chances of the confusions, from sums over all frequent words."""
+        for i, pair in enumerate(CONFUSIONS):
+            self.chance[pair] = min(0.02, max(2e-5, hits[i] / uses[i] if uses.get(i, 0) >= 20_000 else PRIOR))
+
+    def clean(self, w: str, missing: float = 0.0) -> float:
+        """What is left of a word's count once the misreadings of others are taken off."""
+        n = self.count("l " + w)
+        if not n:
+            return missing
+        if w not in self.left:
+            if len(self.left) > 200_000:
+                self.left.clear()
+            sources = self.sources(w)
+            seen = self.counts.many(["l " + v for v, _ in sources])
+            self.left[w] = max(0.02, n - 3 * sum(m * p for m, (_, p) in zip(seen, sources) if m > n))
+        return self.left[w]
+
+    def suspended(self, word: str) -> bool:
+        return self.count("s " + word) > 0
 
     def sources(self, seen: str) -> list[tuple[str, float]]:
         """Words that one confusion turns into what is seen, with its probability."""
@@ -172,24 +213,12 @@ class Model:
                     out[v] = max(p, out.get(v, 0.0))
         return list(out.items())
 
-    def _names(self):
-        """Character trigrams of capitalised words that aren't common words."""
-        grams: Counter = Counter()
-        heads: Counter = Counter()
-        for w, n in self.cased.items():
-            if w[0].isupper() and w.isalpha() and len(w) >= 5 and self.words[w.lower()] < 2 * n + 1:
-                t = f"^^{w.lower()}$"
-                for i in range(len(t) - 2):
-                    grams[t[i : i + 3]] += 1
-                    heads[t[i : i + 2]] += 1
-        self.grams, self.heads = dict(grams), dict(heads)
-
     def name_score(self, word: str) -> float:
         t = f"^^{word.lower()}$"
         return sum(math.log((self.grams.get(t[i : i + 3], 0) + 0.05) / (self.heads.get(t[i : i + 2], 0) + 2.0)) for i in range(len(t) - 2))
 
     def known(self, word: str) -> bool:
-        return self.clean.get(word, 0.0) >= 2.0
+        return self.clean(word) >= 2.0
 
     def candidates(self, word: str) -> list[tuple[str, float]]:
         """(candidate, log channel probability), the word itself first."""
@@ -201,23 +230,26 @@ class Model:
 
     def _candidates(self, word: str) -> list[tuple[str, float]]:
         out = [(word, 0.0)]
-        own = self.clean.get(word, 0.02)
-        for v, p in self.sources(word):
-            if self.clean.get(v, 0.0) * p * 4 > own and self.clean.get(v, 0.0) >= 3.0:
+        own = self.clean(word, 0.02)
+        sources = self.sources(word)
+        self.prefetch(["l " + v for v, _ in sources])
+        for v, p in sources:
+            if self.clean(v) * p * 4 > own and self.clean(v) >= 3.0:
                 out.append((v, math.log(p)))
         if len(out) == 1 and own < 2.0 and len(word) >= 6:  # two confusions in one word
-            for v, p in self.sources(word):
-                for u, q in self.sources(v):
-                    if self.clean.get(u, 0.0) >= 20.0:
-                        out.append((u, math.log(p) + math.log(q)))
+            twice = [(u, p, q) for v, p in sources for u, q in self.sources(v)]
+            seen = self.counts.many(["l " + u for u, _, _ in twice])
+            for n, (u, p, q) in zip(seen, twice):
+                if n >= 20 and self.clean(u) >= 20.0:
+                    out.append((u, math.log(p) + math.log(q)))
         return out
 
     def unigram(self, w: str) -> float:
-        return self.clean.get(w, 0.02) / self.total
+        return self.clean(w, 0.02) / self.total
 
     def step(self, a: str, b: str) -> float:
-        n = self.bigrams.get((a, b), 0)
-        u = self.clean.get(a, 0.0)
+        n = self.count(f"b {a} {b}")
+        u = self.clean(a) if n else 0.0
         return math.log(0.7 * n / u + 0.3 * self.unigram(b)) if n and u >= n else math.log(0.3 * self.unigram(b))
 
     def decode(self, words: list[str]) -> list[str]:
@@ -248,12 +280,12 @@ class Model:
     def mend_name(self, word: str) -> str:
         """A capitalised unknown word, or the likelier one a confusion made it from."""
         low = word.lower()
-        base, own = self.name_score(low), self.cased.get(word, 0)
+        base, own = self.name_score(low), self.count("w " + word)
         best, gain = word, NAME_GAIN
         for v, p in self.sources(low):
             if len(v) < 4 or not v.isalpha():
                 continue
-            seen = self.words.get(v, 0)
+            seen = self.count("l " + v)
             g = self.name_score(v) - base + math.log(p) + (math.log((seen + 1) / (own + 0.5)) if seen > own else 0.0)
             if g > gain:
                 best, gain = v, g
@@ -319,7 +351,7 @@ def read_page(text: str, recurring: set[str], known: set[str], corrector: Correc
         tail = hyphen_end(line)
         follow = words_in(lines[body[k + 1]])[:1] if k + 1 < len(body) else []
         broken = tail is not None
-        if tail is not None and tail.lower() in model.suspended:
+        if tail is not None and model.suspended(tail.lower()):
             # pre- or post-: the next word is a conjunction of its own
             broken = bool(follow) and follow[0].lower() not in _SUSPENDED_BY
         inner = own[:-1] if tail is not None and own else own
@@ -387,12 +419,52 @@ def _pages(images: DataFrame) -> DataFrame:
     return spread(images.where("image_id is not null").where(F.length("ocr_text") > 0).select(F.col("image_id").cast("bigint").alias("image_id"), F.col("document_id").cast("bigint").alias("document_id"), F.col("page_number").cast("int").alias("page_number"), "ocr_text"))
 
 
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"h": [hash_of(k) for k in pdf.k], "n": pdf.n})
+
+
+def _sums(held):
+    """Partial sums over the counts: hits and uses of each confusion, trigrams of names."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, out = held.value, Counter()
+        for pdf in batches:
+            for k, n in zip(pdf.k, pdf.n):
+                w = k[2:]
+                if k[0] == "l" and n >= 300 and len(w) > 2 and w.isalpha():
+                    for i, (true, seen) in enumerate(CONFUSIONS):
+                        for m in counts.many(["l " + v for v in _edit(w, true, seen)]):
+                            if m <= 0.03 * n:
+                                out[f"hits {i}"] += m
+                                out[f"uses {i}"] += n
+                # capitalised words that aren't common words
+                elif k[0] == "w" and w[0].isupper() and w.isalpha() and len(w) >= 5 and counts.many(["l " + w.lower()])[0] < 2 * n + 1:
+                    t = f"^^{w.lower()}$"
+                    for i in range(len(t) - 2):
+                        out["gram " + t[i : i + 3]] += 1
+                        out["head " + t[i : i + 2]] += 1
+        if out:
+            yield pd.DataFrame({"k": list(out), "n": list(out.values())})
+
+    return run
+
+
 def train(pages: DataFrame) -> Model:
     counts = settle(pages.select("ocr_text").mapInPandas(_count, "k string, n bigint").groupBy("k").agg(F.sum("n").cast("bigint").alias("n")))
     total = counts.where(F.col("k").startswith("w ")).agg(F.sum("n")).first()[0] or 0
-    # shares sum to one, so at most 1 / SHARE words and as many bigrams reach the driver
-    kept = counts.where((F.col("n") >= max(1, math.ceil(SHARE * total))) & (F.col("k").startswith("w ") | (F.col("n") >= 3)))
-    return Model({r.k: r.n for r in kept.toLocalIterator()}, total)
+    kept = counts.where(~F.col("k").startswith("b ") | (F.col("n") >= LEAST_BIGRAM)).mapInPandas(_hashed, "h bigint, n bigint").toArrow()
+    table = Counts(kept["h"].to_numpy(), kept["n"].to_numpy())
+    held = pages.sparkSession.sparkContext.broadcast(table)
+    words = counts.where(F.col("k").startswith("w ") | F.col("k").startswith("l ") & (F.col("n") >= 300))
+    sums: dict[str, dict] = {"hits": {}, "uses": {}, "gram": {}, "head": {}}
+    for r in words.mapInPandas(_sums(held), "k string, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
+        kind, _, k = r.k.partition(" ")
+        sums[kind][int(k) if kind in ("hits", "uses") else k] = r.n
+    model = Model(table, total)
+    model.estimate(sums["hits"], sums["uses"])
+    model.grams, model.heads = sums["gram"], sums["head"]
+    return model
 
 
 def _edge_rows(pages: DataFrame) -> DataFrame:
@@ -408,12 +480,6 @@ def _edge_rows(pages: DataFrame) -> DataFrame:
     return pages.mapInPandas(run, "image_id bigint, document_id bigint, key string, h string, page int")
 
 
-def hash_of(text: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(text) >> 1
-
-
 def _recurring(pages: DataFrame) -> tuple[DataFrame, set[str]]:
     """(image_id, keys): a page's edge lines that come back on other pages; and the edge lines
     that recur in KNOWN_IN documents or more."""

@@ -36,3 +36,12 @@ def test_line_rules():
 def test_numbers_with_letters():
     c = scans.Corrector(scans.Model({}, 1))
     assert c.mixed("l987") == "1987" and c.mixed("2O05") == "2005" and c.mixed("3d") == "3d" and c.mixed("12th") == "12th" and c.mixed("fr0m") == "from" and c.mixed("1987") == "1987"
+
+
+def test_rare_words_stay_however_large_the_corpus(spark):
+    rare = [(9000 + i, 9000 + i, 1, "Counsel called Mr. Tarvescote then.", "x", 1, "y") for i in range(4)]
+    seen = (9100, 9100, 1, "Counsel called Mr. Tarvcscote then.", "x", 1, "y")
+    filler = [(20_000 + i, 20_000 + i, 1, "\n".join([BODY] * 400), "x", 1, "y") for i in range(350)]
+    model = scans.train(scans._pages(spark.createDataFrame([*rare, seen, *filler], SCHEMA)))
+    assert model.total > 3_000_000 and model.known("tarvescote") and model.clean("tarvescote") >= 3.0
+    assert not model.known("tarvcscote") and ("tarvescote", model.chance["e", "c"]) in model.sources("tarvcscote")
