@@ -31,7 +31,7 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_pages(spark: SparkSession, root: str) -> DataFrame:
-    return scans.clean_pages(read(spark, root, "image_asset"))
+    return scans.clean_documents(read(spark, root, "image_asset"))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:

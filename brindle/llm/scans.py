@@ -15,13 +15,14 @@ confusions and name trigrams are summed up where the counts lie. Edge lines that
 to its pages by a join that keeps heavy keys out of the shuffle.
 
 Defined results: null and empty pages have no lines; lines are split at line feeds and counted from 1
-with blank ones; a null document_id has no sister pages; null or wrong page numbers only matter for
-the order of repaired text; repeated scans are pages of their own but don't make a line recur; an
-empty table gives no rows; extra columns are ignored.
+with blank ones; a null document_id has no sister pages; null or wrong page numbers don't move a page whose
+image stands in order; repeated scans are pages of their own with the same neighbours, but don't make
+a line recur and give no text; no word goes on over an unreadable page; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -338,18 +339,47 @@ def _recase(shown: str, low: str) -> str:
     return low[:1].upper() + low[1:] if shown[:1].isupper() or (shown[:1].isdigit() and shown[1:2].isupper()) else low
 
 
-def read_page(text: str, recurring: set[str], known: set[str], corrector: Corrector) -> list[tuple[int, str, str]]:
-    """(line index, noise, line as it should read) of every noisy line, and '' for clean body lines."""
+def body_of(lines: list[str], gone: set[int]) -> list[int]:
+    return [i for i in range(len(lines)) if i not in gone and lines[i].strip()]
+
+
+def ends_of(text: str, recurring: set[str], known: set[str], model: Model) -> tuple[str | None, str | None, str | None]:
+    """What a page shares with its neighbours: the first word of its body, the head of a word left
+    open at its end, and that head where only the next page can tell whether it is a suspended one."""
+    lines = lines_of(text)
+    body = body_of(lines, furniture_of(lines, recurring, known))
+    if not body:
+        return None, None, None
+    first, tail = words_in(lines[body[0]])[:1], hyphen_end(lines[body[-1]])
+    return first[0] if first else None, tail, tail if tail and model.suspended(tail.lower()) else None
+
+
+def is_compound(first: str, head: str, model: Model) -> bool:
+    return model.known(first.lower()) and model.known(head.lower()) and not model.known((first + head).lower())
+
+
+def slip_in(first: str, head: str, corrector: Corrector) -> int | None:
+    """Where a broken word, judged as a whole, is misread: the position of its first wrong character."""
+    whole = first + head
+    if is_compound(first, head, corrector.model):
+        return None
+    right = corrector.word(whole, corrector.model.decode([whole.lower()])[0])
+    return None if right == whole else next((n for n, (a, b) in enumerate(zip(whole, right)) if a != b), len(right))
+
+
+def read_page(text: str, recurring: set[str], known: set[str], corrector: Corrector, before: str | None = None, after: str | None = None) -> list[tuple[int, str, str]]:
+    """(line index, noise, line as it should read) of every noisy line, and '' for clean body lines.
+    before is the head of a word left open on the page before, after the first word of the next page."""
     model, lines = corrector.model, lines_of(text)
     gone = furniture_of(lines, recurring, known)
-    body = [i for i in range(len(lines)) if i not in gone and lines[i].strip()]
+    body = body_of(lines, gone)
     out = [(i, "furniture", "") for i in sorted(gone)]
-    carry: tuple[int, str] | None = None  # line and head of a broken word
+    carry: tuple[int, str] | None = (-1, before) if before else None  # line and head of a broken word
     for k, i in enumerate(body):
         line = lines[i]
         own = words_in(line)
         tail = hyphen_end(line)
-        follow = words_in(lines[body[k + 1]])[:1] if k + 1 < len(body) else []
+        follow = words_in(lines[body[k + 1]])[:1] if k + 1 < len(body) else [after] if after else []
         broken = tail is not None
         if tail is not None and model.suspended(tail.lower()):
             # pre- or post-: the next word is a conjunction of its own
@@ -363,23 +393,20 @@ def read_page(text: str, recurring: set[str], known: set[str], corrector: Correc
         if carry is not None and head is not None:
             # the broken word as a whole: the wrong character lies in one part or the other
             j, first = carry
-            whole = first + head
-            compound = model.known(first.lower()) and model.known(head.lower()) and not model.known(whole.lower())
-            if not compound:
-                right = corrector.word(whole, model.decode([whole.lower()])[0])
-                if right != whole:
-                    at = next((n for n, (a, b) in enumerate(zip(whole, right)) if a != b), len(right))
-                    if at < len(first):
-                        out.append((j, "misread", ""))
-                    else:
-                        bad = True
-            else:
+            if is_compound(first, head, model):
                 bad |= any(corrector.word(w, model.decode([w.lower()])[0]) != w for w in (head,))
+            elif (at := slip_in(first, head, corrector)) is not None:
+                if at >= len(first):
+                    bad = True
+                elif j >= 0:  # else the line of the page before, which sees the whole word too
+                    out.append((j, "misread", ""))
         if bad:
             out.append((i, "misread", ""))
         if broken:
             out.append((i, "hyphen", ""))
         carry = (i, tail) if broken and tail else None
+        if carry and k + 1 == len(body) and after and (at := slip_in(tail, after, corrector)) is not None and at < len(tail):
+            out.append((i, "misread", ""))
         if tail is not None and not broken and corrector.word(tail, model.decode([tail.lower()])[0]) != tail:
             out.append((i, "misread", ""))
         for a, b in zip(inner, fixed):
@@ -389,27 +416,89 @@ def read_page(text: str, recurring: set[str], known: set[str], corrector: Correc
     return list(dict.fromkeys(out))
 
 
-def repaired(text: str, recurring: set[str], known: set[str], corrector: Corrector) -> str:
+def joined(above: str, below: str, corrector: Corrector) -> str:
+    """Text that ends in a broken word with the text that goes on with it, the word mended as a whole."""
+    first, rest = hyphen_end(above), words_in(below)[:1]
+    if not first or not rest:
+        return above + below
+    at = below.index(rest[0])
+    stem, head = above.rstrip()[: -1 - len(first)], rest[0]
+    if is_compound(first, head, corrector.model):
+        return above.rstrip() + below
+    whole = first + head
+    return stem + below[:at] + corrector.word(whole, corrector.model.decode([whole.lower()])[0]) + below[at + len(head) :]
+
+
+def repaired(text: str, recurring: set[str], known: set[str], corrector: Corrector, before: str | None = None, after: str | None = None) -> str:
     """A page's body as paragraphs: furniture gone, characters mended, broken words joined."""
-    rows = read_page(text, recurring, known, corrector)
+    rows = read_page(text, recurring, known, corrector, before, after)
     right = {i: line for i, noise, line in rows if not noise}
     broken = {i for i, noise, _ in rows if noise == "hyphen"}
     gone = {i for i, noise, _ in rows if noise == "furniture"}
-    out, glue = [], ""
+    parts, glue, hung = [""], "", False
     for i, line in enumerate(lines_of(text)):
         if i in gone:
             continue
         if not line.strip():
-            glue = "\n\n" if out else ""
+            glue = glue if hung else "\n\n" if parts[-1] or len(parts) > 1 else ""
             continue
         t = right.get(i, line).strip()
-        out.append(glue + t)
-        glue = " "
-        if i in broken:
-            word = hyphen_end(t) or ""
-            out[-1] = out[-1][: len(out[-1]) - 1] if not corrector.model.known(word.lower()) or len(word) < 4 else out[-1]
-            glue = ""
-    return "".join(out)
+        if hung:  # only the line with the word's head is touched
+            parts[-1] = joined(parts[-1], t, corrector)
+        else:
+            parts += [glue, t]
+        glue, hung = " ", i in broken
+    return "".join(parts)
+
+
+def in_order(pages: list[tuple[int, int | None, bool, frozenset]]) -> list[list[int]]:
+    """Pages (image, number, readable, sketch) of one document in order, each with its other scans, as
+    indices. Images are taken in page order unless most numbers say otherwise, so that a wrong or
+    missing number moves no page; the pages then go by number, those without after the image before."""
+    order = sorted(range(len(pages)), key=lambda i: pages[i][0])
+    least: list[int] = []  # longest run of numbers that never fall
+    for i in order:
+        n = pages[i][1]
+        if n is not None:
+            at = bisect.bisect_right(least, n)
+            least[at : at + 1] = [n]
+    if len(least) * 3 < 2 * sum(p[1] is not None for p in pages):
+        last, keyed = -math.inf, []
+        for i in order:
+            last = pages[i][1] if pages[i][1] is not None else last
+            keyed.append((last, pages[i][0], i))
+        order = [i for _, _, i in sorted(keyed)]
+    out: list[list[int]] = []
+    numbered: dict[int, list[int]] = {}
+    for i in order:
+        _, number, readable, sketch = pages[i]
+        near = [*out[-2:][::-1], *([numbered[number]] if number in numbered else [])]
+        twin = next((own for own in near if same_page(pages[own[0]], pages[i])), None)
+        if twin is not None:
+            twin.append(i)
+            twin.sort(key=lambda k: (not pages[k][2], pages[k][0]))
+            continue
+        out.append([i])
+        if number is not None:
+            numbered.setdefault(number, out[-1])
+    return out
+
+
+#: Words of a page that tell whether two scans show the same page, and the share they must have in common.
+SKETCH, ALIKE = 48, 0.4
+
+
+def same_page(a: tuple, b: tuple) -> bool:
+    if not (a[2] and b[2]):  # an unreadable scan of a page that has the same number
+        return a[1] is not None and a[1] == b[1]
+    if None not in (a[1], b[1]) and a[1] != b[1]:
+        return False
+    both = sorted(a[3] | b[3])[:SKETCH]
+    return len(both) >= 4 and sum(h in a[3] and h in b[3] for h in both) >= ALIKE * len(both)
+
+
+def sketch_of(text: str) -> list[int]:
+    return sorted({hash_of(w.lower()) for line in lines_of(text) for w in words_in(line)})[:SKETCH]
 
 
 # ---- over tables ---------------------------------------------------------------------------
@@ -501,7 +590,43 @@ def _with_model(images: DataFrame):
     model = train(pages)
     keys, known = _recurring(pages)
     held = pages.sparkSession.sparkContext.broadcast((model, known))
-    return pages.join(keys, "image_id", "left"), held
+    pages = settle(pages.join(keys, "image_id", "left"))
+    return pages.join(_placed(images, pages, held), "image_id", "left"), held
+
+
+def _placed(images: DataFrame, pages: DataFrame, held) -> DataFrame:
+    """(image_id, before, after, seat): the open head on the page before, the first word of the
+    next page, and the page's place in its document (null for another scan of a page)."""
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, known = held.value
+        for pdf in batches:
+            out = [(*ends_of(t, set(k if k is not None else ()), known, model), sketch_of(t)) for t, k in zip(pdf.ocr_text, pdf["keys"])]
+            yield pd.DataFrame({"image_id": pdf.image_id, "document_id": pdf.document_id, "page_number": pdf.page_number.astype("Int32"), "first": [x[0] for x in out], "tail": [x[1] for x in out], "doubt": [x[2] for x in out], "sketch": [x[3] for x in out]})
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for rows in pdf.rows:
+                seats = in_order([(r["image_id"], r["page_number"], r["sketch"] is not None, frozenset(r["sketch"] if r["sketch"] is not None else ())) for r in rows])
+                for k, own in enumerate(seats):
+                    head = rows[seats[k - 1][0]] if k else None
+                    nxt = rows[seats[k + 1][0]] if k + 1 < len(seats) else None
+                    for n, i in enumerate(own):
+                        r = rows[i]
+                        before = head["tail"] if head is not None else None
+                        if before and head["doubt"] and (r["first"] or "").lower() in _SUSPENDED_BY:
+                            before = None
+                        out.append((r["image_id"], before, nxt["first"] if nxt is not None else None, None if n else k))
+            yield pd.DataFrame(out, columns=["image_id", "before", "after", "seat"]).astype({"seat": "Int64"})
+
+    # unreadable pages keep their place: no word goes on over them
+    shape = "image_id bigint, document_id bigint, page_number int, first string, tail string, doubt string, sketch array<bigint>"
+    ended = pages.where("document_id is not null").select("image_id", "document_id", "page_number", "ocr_text", "keys").mapInPandas(ends, shape)
+    blank = images.where("image_id is not null and document_id is not null").where(F.coalesce(F.length("ocr_text"), F.lit(0)) == 0)
+    blank = blank.select(F.col("image_id").cast("bigint").alias("image_id"), F.col("document_id").cast("bigint").alias("document_id"), F.col("page_number").cast("int").alias("page_number"), *(F.lit(None).cast(t).alias(c) for c, t in (("first", "string"), ("tail", "string"), ("doubt", "string"), ("sketch", "array<bigint>"))))
+    rows = ended.unionByName(blank).groupBy("document_id").agg(F.collect_list(F.struct("image_id", "page_number", "first", "tail", "doubt", "sketch")).alias("rows"))
+    return rows.select("rows").mapInPandas(place, "image_id bigint, before string, after string, seat bigint").groupBy("image_id").agg(F.min(F.struct(F.col("seat").isNull(), "seat", "before", "after")).alias("x")).select("image_id", "x.seat", "x.before", "x.after")
 
 
 def noise(images: DataFrame) -> DataFrame:
@@ -513,23 +638,62 @@ def noise(images: DataFrame) -> DataFrame:
         corrector = Corrector(model)
         for pdf in batches:
             out = []
-            for image, text, keys in zip(pdf.image_id, pdf.ocr_text, pdf["keys"]):
-                out += [(image, i + 1, kind) for i, kind, _ in read_page(text, set(keys if keys is not None else ()), known, corrector) if kind]
+            for image, text, keys, before, after in zip(pdf.image_id, pdf.ocr_text, pdf["keys"], pdf.before, pdf.after):
+                out += [(image, i + 1, kind) for i, kind, _ in read_page(text, set(keys if keys is not None else ()), known, corrector, before, after) if kind]
             if out:
                 yield pd.DataFrame(out, columns=["image_id", "line_no", "noise"])
 
-    return pages.select("image_id", "ocr_text", "keys").mapInPandas(run, "image_id bigint, line_no bigint, noise string").distinct()
+    return pages.select("image_id", "ocr_text", "keys", "before", "after").mapInPandas(run, "image_id bigint, line_no bigint, noise string").distinct()
 
 
-def clean_pages(images: DataFrame) -> DataFrame:
-    """(document_id, page_number, image_id, text): each page's body in repaired paragraphs."""
+def _clean(images: DataFrame):
     pages, held = _with_model(images)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, known = held.value
         corrector = Corrector(model)
         for pdf in batches:
-            texts = [repaired(t, set(k if k is not None else ()), known, corrector) for t, k in zip(pdf.ocr_text, pdf["keys"])]
-            yield pd.DataFrame({"document_id": pdf.document_id.astype("Int64"), "page_number": pdf.page_number.astype("Int32"), "image_id": pdf.image_id, "text": texts})
+            texts = [repaired(t, set(k if k is not None else ()), known, corrector, b, a) for t, k, b, a in zip(pdf.ocr_text, pdf["keys"], pdf.before, pdf.after)]
+            # the last line ends in a broken word if the next page goes on with it
+            hung = [bool(h := hyphen_end(t)) and not (model.suspended(h.lower()) and (not a or a.lower() in _SUSPENDED_BY)) for t, a in zip(texts, pdf.after)]
+            yield pd.DataFrame({"document_id": pdf.document_id.astype("Int64"), "page_number": pdf.page_number.astype("Int32"), "image_id": pdf.image_id, "text": texts, "seat": pdf.seat.astype("Int64"), "hung": hung})
 
-    return pages.mapInPandas(run, "document_id bigint, page_number int, image_id bigint, text string")
+    return pages.mapInPandas(run, "document_id bigint, page_number int, image_id bigint, text string, seat bigint, hung boolean"), held
+
+
+def clean_pages(images: DataFrame) -> DataFrame:
+    """(document_id, page_number, image_id, text): each page's body in repaired paragraphs."""
+    return _clean(images)[0].select("document_id", "page_number", "image_id", "text")
+
+
+def clean_documents(images: DataFrame) -> DataFrame:
+    """(document_id, image_id, pages, text): each document's pages in page order as continuous
+    paragraphs, with its first image and number of pages; a page without a document stands alone."""
+    done, held = _clean(images)
+    alone = done.where("document_id is null").select("document_id", "image_id", F.lit(1).cast("bigint").alias("pages"), "text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        corrector = Corrector(held.value[0])
+        for pdf in batches:
+            texts = []
+            for rows in pdf.rows:
+                parts: list[str] = []
+                last = None
+                for r in rows:
+                    if not r["text"]:
+                        continue
+                    if last is not None and last["hung"] and r["seat"] == last["seat"] + 1:
+                        parts[-1] = joined(parts[-1], r["text"], corrector)
+                    elif last is not None:
+                        # a paragraph goes on unless a sentence has ended
+                        ended = re.search(r"[.?!:;*][\"”’')\]]*$", last["text"].rstrip()) or _HEADING.fullmatch(r["text"].split("\n")[0])
+                        parts += ["\n\n" if ended else " ", r["text"]]
+                    else:
+                        parts.append(r["text"])
+                    last = r
+                texts.append("".join(parts))
+            yield pd.DataFrame({"document_id": pdf.document_id, "image_id": [r[0]["image_id"] for r in pdf.rows], "pages": [len(r) for r in pdf.rows], "text": texts})
+
+    held_rows = F.array_sort(F.collect_list(F.struct("seat", "image_id", "text", "hung"))).alias("rows")
+    whole = done.where("document_id is not null and seat is not null").groupBy("document_id").agg(held_rows).mapInPandas(run, "document_id bigint, image_id bigint, pages bigint, text string")
+    return whole.unionByName(alone)

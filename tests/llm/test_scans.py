@@ -45,3 +45,25 @@ def test_rare_words_stay_however_large_the_corpus(spark):
     model = scans.train(scans._pages(spark.createDataFrame([*rare, seen, *filler], SCHEMA)))
     assert model.total > 3_000_000 and model.known("tarvescote") and model.clean("tarvescote") >= 3.0
     assert not model.known("tarvcscote") and ("tarvescote", model.chance["e", "c"]) in model.sources("tarvcscote")
+
+
+def test_words_broken_over_a_page_end(spark):
+    filler = pages() + [(5000 + i, 5000 + i, 1, "The tenancy was void.", "x", 1, "y") for i in range(20)]
+    one = "The ledger of the witness had been heard.\nThe court said that the tcn-"
+    two = "ancy was void.\nThe hearing closed. The court had not heard the ten-"
+    three = "ancv papers.\nThe surety had been heard."
+    doc = [(701, 70, 1, one, "x", 1, "y"), (702, 70, None, two, "x", 1, "y"), (703, 70, 12, three, "x", 1, "y"), (704, 70, 4, None, "x", 1, "y"), (705, 70, 5, "A line of words.", "x", 1, "y")]
+    df = spark.createDataFrame([*filler, *doc], SCHEMA)
+    got = {tuple(r) for r in scans.noise(df).where("image_id between 701 and 705").collect()}
+    assert {(701, 2, "hyphen"), (701, 2, "misread"), (702, 2, "hyphen")} <= got and (702, 1, "misread") not in got
+    whole = scans.clean_documents(df).where("document_id = 70").collect()
+    assert len(whole) == 1 and whole[0].pages == 4 and whole[0].image_id == 701
+    assert "The court said that the tenancy was void. The hearing closed. The court had not heard the ten" in whole[0].text.replace("\n\n", " ") and whole[0].text.endswith("A line of words.")
+
+
+def test_page_order():
+    page = lambda i, n, *words, ok=True: (i, n, ok, frozenset(words))
+    # a missing and a wrong number move nothing; a second scan, one unreadable, goes with its page
+    assert scans.in_order([page(1, None, 1, 2, 3, 4), page(2, 102, 5, 6, 7, 8), page(3, 3, 9, 10, 11, 12), page(4, 3, 9, 10, 11, 13), page(5, 4, ok=False), page(6, 4, 14, 15, 16, 17)]) == [[0], [1], [2, 3], [5, 4]]
+    # images that arrived backwards go by number
+    assert scans.in_order([page(1, 3, 1, 2, 3, 4), page(2, 2, 5, 6, 7, 8), page(3, 1, 9, 10, 11, 12)]) == [[2], [1], [0]]
