@@ -36,10 +36,10 @@ from brindle.session import spread
 LEAST = 20
 WINDOW = 48
 COSINE = 0.3
-#: Items are compared in blocks of so many.
-ITEM_BLOCK = 2_000
 #: Rank of the basis beyond the number of items of a block, and its largest value.
 OVERSAMPLE, MOST_RANK = 64, 768
+#: Items are compared in blocks of so many, so that the basis has room for each of them.
+ITEM_BLOCK = MOST_RANK - OVERSAMPLE
 SEED = 7
 #: A word in more than these shares of items and documents carries no weight.
 COMMON_ITEMS, COMMON_DOCS = 0.25, 0.02

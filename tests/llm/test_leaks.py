@@ -35,3 +35,7 @@ def test_blocks_of_items_and_empty_tables(spark, monkeypatch):
     b = spark.createDataFrame([(i, t, "k") for i, t in items], ITEMS)
     assert {(r.doc_id, r.item_id) for r in leaks.leaks(d, b).collect()} == {(1, 9), (2, 0)}
     assert leaks.leaks(d.limit(0), b).count() == 0 and leaks.leaks(d, b.limit(0)).count() == 0
+
+
+def test_the_basis_has_room_for_every_item_of_a_block():
+    assert leaks.ITEM_BLOCK + leaks.OVERSAMPLE <= leaks.MOST_RANK
