@@ -55,7 +55,20 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path  # type: ignore[attr-defined]
+    return out
+
+
+def unsettle(*frames: DataFrame) -> None:
+    """Delete what settle() wrote for these frames, once nothing reads them any more."""
+    for df in frames:
+        path = getattr(df, "_settled_at", None)
+        if path is not None:
+            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+            where = jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+            df._settled_at = None  # type: ignore[attr-defined]
 
 
 def spread(df: DataFrame) -> DataFrame:
