@@ -117,13 +117,16 @@ def pack(items: list[tuple[int, int]], capacity: int) -> tuple[list[tuple[int, i
 
 
 def _pack_shard(capacities: dict[str, int]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = int(pdf.shard.iloc[0])
-        items = sorted(zip(pdf.doc_id.tolist(), pdf.tokens.tolist()))
-        out = []
-        for name, capacity in capacities.items():
-            out += [(name, shard, *r) for r in pack(items, capacity)[0]]
-        return pd.DataFrame(out, columns=["capacity_name", "shard", "container", "doc_id", "part_no", "tokens"])
+    """Packs the shard that a task holds, whole."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = [pdf for pdf in batches if len(pdf)]
+        if frames:
+            shard = int(frames[0].shard.iloc[0])
+            items = sorted(i for pdf in frames for i in zip(pdf.doc_id.tolist(), pdf.tokens.tolist()))
+            for name, capacity in capacities.items():
+                out = [(name, shard, *r) for r in pack(items, capacity)[0]]
+                yield pd.DataFrame(out, columns=["capacity_name", "shard", "container", "doc_id", "part_no", "tokens"])
 
     return run
 
@@ -150,7 +153,8 @@ def packed(documents: DataFrame, capacities: DataFrame, path: str = RANKS, patte
     total = counts.agg(F.sum("tokens")).first()[0] or 0
     shards = max(1, -(-total // SHARD))
     dealt = counts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    rows = settle(dealt.groupBy("shard").applyInPandas(_pack_shard(sizes), _ROWS))
+    # one task for each shard: rows of a few bytes would otherwise be put together again
+    rows = settle(dealt.repartitionById(shards, F.col("shard").cast("int")).mapInPandas(_pack_shard(sizes), _ROWS))
     keys = ["capacity_name", "shard", "container"]
     limit = F.create_map(*[F.lit(x) for p in (sizes or {"": 0}).items() for x in p])[F.col("capacity_name")]
     loose = rows.groupBy(*keys).agg(F.sum("tokens").alias("fill")).where(F.col("fill") < limit).withColumn("g", F.floor(F.col("shard") / SHARDS_MERGED))
