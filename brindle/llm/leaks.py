@@ -8,9 +8,11 @@ cosine with an item in that basis reaches COSINE are candidates; a longest commo
 words against the item then counts the words that follow the item's order in dense runs, and the
 answer check asks that the item's own rare words, not just its turns of phrase, are among them.
 
-Scale: three narrow passes over the documents; what is shuffled or broadcast has the size of the
-items' vocabulary times the rank. Items are a stated query set: they are worked off in blocks of
-ITEM_BLOCK, so any number of them fits the driver.
+Scale: the documents are tokenised once, into codes of the items' words (-1 for all other words), a
+table that two light passes read for each block of items. The sums of a pass are made by a bounded number
+of tasks for each core, so what is shuffled or broadcast has the size of the items' vocabulary times
+the rank, however many files the documents have. Items are a stated query set: they are worked off in
+blocks of ITEM_BLOCK, so any number of them fits the driver.
 
 Defined results: null and empty texts and items leak nothing; items shorter than LEAST words are no
 case; repeated item ids are taken as one item with all its texts; repeated documents each count;
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.aligning import fold, lcs_pairs
-from brindle.session import spread
+from brindle.session import settle, spread
 
 #: Words of a case by its statement.
 LEAST = 20
@@ -43,6 +45,8 @@ ITEM_BLOCK = MOST_RANK - OVERSAMPLE
 SEED = 7
 #: A word in more than these shares of items and documents carries no weight.
 COMMON_ITEMS, COMMON_DOCS = 0.25, 0.02
+#: Tasks for each core that add up a sketch.
+SUMS = 2
 #: Of the item's words spanned by dense runs, this share must be matched.
 DENSITY = 0.6
 
@@ -59,40 +63,41 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Items:
-    """A block of items: their words, vocabulary with weights, and unit vectors."""
+    """A block of items: their words as codes, vocabulary with weights, and unit vectors."""
 
-    def __init__(self, texts: dict[int, list[str]], docs: int, frequency: dict[str, int]):
+    def __init__(self, texts: dict[int, list[int]], docs: int, frequency: np.ndarray):
         self.words = {i: w for i, w in texts.items() if len(w) >= LEAST}
         self.ids = sorted(self.words)
         of_items = Counter(t for w in self.words.values() for t in set(w))
         n = max(1, len(self.words))
-        self.index: dict[str, int] = {}
+        #: Place of each code in the block's vocabulary, -1 for none; the last entry stands for unknown words.
+        self.index = np.full(len(frequency) + 1, -1, dtype=np.int64)
         weights = []
         for t in sorted(of_items):
-            if of_items[t] > COMMON_ITEMS * n and frequency.get(t, 0) > COMMON_DOCS * docs:
+            if of_items[t] > COMMON_ITEMS * n and frequency[t] > COMMON_DOCS * docs:
                 continue
-            self.index[t] = len(self.index)
-            weights.append(max(math.log((1 + docs) / (1 + frequency.get(t, 0))), math.log((1 + n) / of_items[t])))
+            self.index[t] = len(weights)
+            weights.append(max(math.log((1 + docs) / (1 + frequency[t])), math.log((1 + n) / of_items[t])))
         self.weights = np.array(weights, dtype=np.float32)
         # an item's answer words: those that hardly any other item has
         self.rare = {i: {t for t in set(w) if of_items[t] <= max(1, n // 100)} for i, w in self.words.items()}
 
-    def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sparse unit vector of a passage: indices and values; empty where no word is known."""
-        counts = Counter(k for w in words if (k := self.index.get(w)) is not None)
-        at = np.fromiter(counts.keys(), dtype=np.int64, count=len(counts))
-        values = np.fromiter((1 + math.log(c) for c in counts.values()), dtype=np.float32, count=len(counts)) * self.weights[at]
+    def vector(self, codes: np.ndarray | list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Sparse unit vector of a passage: places and values; empty where no word is known."""
+        at = self.index[codes]
+        at, counts = np.unique(at[at >= 0], return_counts=True)
+        values = ((1 + np.log(counts)) * self.weights[at]).astype(np.float32)
         norm = float(np.linalg.norm(values))
         return (at, values / norm) if norm else (at[:0], values[:0])
 
 
-def passages(words: list[str]) -> Iterator[tuple[int, list[str]]]:
+def passages(words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     step = WINDOW // 2
     for start in range(0, max(1, len(words) - step), step):
         yield start, words[start : start + WINDOW]
 
 
-def covered(doc: list[str], item: list[str], rare: set[str]) -> tuple[int, int, int, int]:
+def covered(doc: list[int], item: list[int], rare: set[int]) -> tuple[int, int, int, int]:
     """Of the dense runs of doc along item: matched words, item words spanned, rare words matched
     and rare words spanned."""
     runs: list[list[tuple[int, int]]] = []
@@ -119,28 +124,31 @@ def is_leak(matched: int, spanned: int, hit: int, due: int, has_rare: bool) -> b
     return hit >= 2 and hit >= 0.5 * due if has_rare else matched >= 0.8 * spanned
 
 
-def _frequencies(documents: DataFrame, vocabulary: set[str]) -> tuple[int, dict[str, int]]:
-    """Number of documents, and of those holding each item word."""
-    held = documents.sparkSession.sparkContext.broadcast(vocabulary)
+def _coded(documents: DataFrame, codes: dict[str, int]) -> DataFrame:
+    """(doc_id, codes): each document's words as codes of the items' words."""
+    held = documents.sparkSession.sparkContext.broadcast(codes)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code = held.value.get
         for pdf in batches:
-            for text in pdf.text:
-                total.update(held.value.intersection(words_of(text)))
-                total[""] += 1
-        yield pd.DataFrame({"t": list(total), "n": list(total.values())})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "codes": [np.fromiter((code(w, -1) for w in words_of(t)), dtype=np.int32) for t in pdf.text]})
+
+    return settle(documents.mapInPandas(encode, "doc_id bigint, codes array<int>"))
 
-    rows = documents.select("text").mapInPandas(count, "t string, n bigint").groupBy("t").agg(F.sum("n").alias("n")).collect()
-    found = {r.t: r.n for r in rows}
-    return found.pop("", 0), found
 
+def _frequencies(coded: DataFrame, size: int) -> tuple[int, np.ndarray]:
+    """Number of documents, and of those holding each item word."""
+    found = np.zeros(size, dtype=np.int64)
+    for r in coded.select(F.explode(F.array_distinct("codes")).alias("t")).where("t >= 0").groupBy("t").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
+        found[r.t] = r.n
+    return coded.count(), found
 
-def _basis(documents: DataFrame, items: Items) -> np.ndarray:
+
+def _basis(coded: DataFrame, items: Items) -> np.ndarray:
     """Orthonormal basis (vocabulary by rank) of the leading right singular space."""
-    d = len(items.index)
+    d = len(items.weights)
     rank = max(1, min(d, len(items.ids) + OVERSAMPLE, MOST_RANK))
-    sc = documents.sparkSession.sparkContext
+    sc = coded.sparkSession.sparkContext
     omega = np.linalg.qr(np.random.default_rng(SEED).standard_normal((d, rank)))[0].astype(np.float32)
     held = sc.broadcast((items, omega))
 
@@ -148,23 +156,23 @@ def _basis(documents: DataFrame, items: Items) -> np.ndarray:
         its, om = held.value
         total, energy = np.zeros((len(om), om.shape[1]), dtype=np.float32), 0.0
         for pdf in batches:
-            for text in pdf.text:
-                for _, words in passages(words_of(text)):
-                    at, values = its.vector(words)
+            for codes in pdf.codes:
+                for _, some in passages(codes):
+                    at, values = its.vector(some)
                     if len(at):
                         total[at] += values[:, None] * (values @ om[at])
                         energy += 1.0
         used = np.flatnonzero(np.abs(total).sum(1))
-        yield pd.DataFrame({"i": [-1, *used.tolist()], "v": [[energy], *[r.tolist() for r in total[used]]]})
+        yield pd.DataFrame({"i": [-1, *used.tolist()], "v": [np.array([energy], dtype=np.float32), *total[used]]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for pdf in batches:
             for i, v in zip(pdf.i, pdf.v):
                 sums[i] = sums[i] + np.asarray(v) if i in sums else np.asarray(v, dtype=np.float64)
-        yield pd.DataFrame({"i": list(sums), "v": [v.tolist() for v in sums.values()]})
+        yield pd.DataFrame({"i": list(sums), "v": list(sums.values())})
 
-    parts = documents.select("text").mapInPandas(sketch, "i int, v array<double>").repartition("i").mapInPandas(add, "i int, v array<double>").collect()
+    parts = coded.select("codes").coalesce(SUMS * sc.defaultParallelism).mapInPandas(sketch, "i int, v array<float>").repartition("i").mapInPandas(add, "i int, v array<double>").collect()
     y, energy = np.zeros((d, rank)), 1.0
     for r in parts:
         if r.i < 0:
@@ -184,20 +192,19 @@ def _basis(documents: DataFrame, items: Items) -> np.ndarray:
     return np.ascontiguousarray(left[:, s > 1e-6 * s.max()], dtype=np.float32)
 
 
-def _search(documents: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
+def _search(coded: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
     index = np.zeros((len(items.ids), basis.shape[1]), dtype=np.float32)
     for k, i in enumerate(items.ids):
         at, values = items.vector(items.words[i])
         index[k] = values @ basis[at]
     index /= np.maximum(np.linalg.norm(index, axis=1, keepdims=True), 1e-9)
-    held = documents.sparkSession.sparkContext.broadcast((items, basis, index))
+    held = coded.sparkSession.sparkContext.broadcast((items, basis, index))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         its, v, idx = held.value
         for pdf in batches:
             out = []
-            for doc, text in zip(pdf.doc_id, pdf.text):
-                words = words_of(text)
+            for doc, words in zip(pdf.doc_id, pdf.codes):
                 starts, latent = [], []
                 for start, some in passages(words):
                     at, values = its.vector(some)
@@ -219,29 +226,37 @@ def _search(documents: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
                             spans.append([a, b])
                     got = np.zeros(4, dtype=int)
                     for a, b in spans:
-                        got += covered(words[a:b], its.words[i], its.rare[i])
+                        got += covered(words[a:b].tolist(), its.words[i], its.rare[i])
                     if is_leak(*got.tolist(), bool(its.rare[i])):
                         out.append((doc, i, float(close[:, k].max()), int(got[0])))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "words"])
 
-    return documents.mapInPandas(scan, "doc_id bigint, item_id bigint, cosine double, words bigint")
+    return coded.mapInPandas(scan, "doc_id bigint, item_id bigint, cosine double, words bigint")
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, words) of every document that holds a passage of an item."""
     docs = spread(documents.where(F.length("text") > 0).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    texts: dict[int, list[str]] = {}
-    out: DataFrame | None = None
+    wanted = benchmark.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").orderBy("item_id", "text")
+    codes: dict[str, int] = {}
+    for r in wanted.toLocalIterator():
+        for w in words_of(r.text):
+            codes.setdefault(w, len(codes))
+    none = docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, cosine double, words bigint")
+    if not codes:
+        return none
+    coded = _coded(docs, codes)
+    n, frequency = _frequencies(coded, len(codes))
+    texts: dict[int, list[int]] = {}
+    out = none
 
     def block() -> DataFrame:
-        n, frequency = _frequencies(docs, {t for w in texts.values() for t in w})
         items = Items(texts, n, frequency)
-        return _search(docs, items, _basis(docs, items)) if items.ids and items.index and n else docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, cosine double, words bigint")
+        return _search(coded, items, _basis(coded, items)) if items.ids and len(items.weights) and n else none
 
-    for r in benchmark.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
+    for r in wanted.toLocalIterator():
         if r.item_id not in texts and len(texts) >= ITEM_BLOCK:
-            out = block() if out is None else out.unionByName(block())
+            out = out.unionByName(block())
             texts = {}
-        texts[r.item_id] = texts.get(r.item_id, []) + words_of(r.text)
-    last = block()
-    return last if out is None else out.unionByName(last)
+        texts[r.item_id] = texts.get(r.item_id, []) + [codes[w] for w in words_of(r.text)]
+    return out.unionByName(block())
