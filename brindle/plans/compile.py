@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 
 from brindle.lang import nodes as n
 from brindle.operators import derive
-from brindle.operators.judge import Judge, KeywordJudge
+from brindle.operators.judge import Judge, KeywordJudge, escalate
 from brindle.operators.retrieve import nearest, token_overlap
+from brindle.operators.semjoin import blocked_join
 from brindle.plans import ir
 from brindle.plans.planner import shared
 
@@ -33,6 +34,11 @@ class Context:
     keys: dict[str, tuple[str, ...]] = field(default_factory=dict)
     observations: dict[str, Observation] = field(default_factory=dict)
 
+    @property
+    def oracle(self) -> Judge | None:
+        """The judge that decides what the others are least sure of."""
+        return self.judges.get("oracle")
+
     def judge(self, model: str) -> Judge:
         return self.judges.get(model) or self.judges.get("*") or KeywordJudge()
 
@@ -46,6 +52,9 @@ class Compiler:
         self.ctx, self.plan = ctx, plan
         self.made: dict[n.FieldRef, Column] = {}
         self.expanded: dict[n.FieldRef, str] = {}
+        #: Inside an OR: the planned judgement of each (field, text), and which rows need judging.
+        self.branches: dict[tuple[n.FieldRef, str], ir.SemanticFilter] = {}
+        self.open: Column | None = None
         used = {r for x in plan.walk() for r in _refs_of(x)}
         self.used: dict[str, set[str]] = {}
         for r in used:
@@ -112,6 +121,8 @@ class Compiler:
                 return _fold(children, lambda x: self.condition(x, df), lambda a, b: a & b)
             case n.Or(children):
                 return self.any_of(children, df)
+            case n.Not(n.Fuzzy() as fuzzy):
+                return self.branch(fuzzy, True, df)
             case n.Not(child):
                 return ~self.condition(child, df)
             case n.Comparison(op, a, b):
@@ -137,18 +148,32 @@ class Compiler:
                     return F.exists(x, lambda e: e.ilike(pattern))
                 return x.ilike(pattern)
             case n.Fuzzy():
-                ref = c.field.ref if isinstance(c.field, n.Unnest) else c.field
-                return self.judged(ref, c.text, KeywordJudge() if "*" not in self.ctx.judges else self.ctx.judges["*"], "ANY", False, df)
+                return self.branch(c, False, df)
         raise TypeError(f"not a condition: {c!r}")
 
+    def branch(self, c: n.Fuzzy, negated: bool, df: DataFrame) -> Column:
+        """A judgement inside an OR, by the judge and quantifier planned for it."""
+        over = isinstance(c.field, n.Unnest)
+        ref = c.field.ref if over else c.field
+        plan = self.branches.get((ref, c.text))
+        judge = self.ctx.judge(plan.bound_model if plan else "*")
+        if over:
+            return judge.some(self.full(ref, df), c.text, not negated)
+        return self.judged(ref, c.text, judge, plan.quantifier if plan else "ANY", negated, df)
+
     def any_of(self, children: tuple, df: DataFrame) -> Column:
-        """An OR: what exact branches decide is not judged."""
+        """An OR: exact branches first; what they, or earlier judgements, decide is not judged: its
+        content is null for the judge."""
         exact = [c for c in children if not any(isinstance(p, n.Fuzzy) for p in n.predicates(c))]
         fuzzy = [c for c in children if c not in exact]
         out = _fold(exact, lambda x: F.coalesce(self.condition(x, df), F.lit(False)), lambda a, b: a | b) if exact else None
+        outer = self.open
         for c in fuzzy:
+            need = None if out is None else ~out
+            self.open = need if outer is None else outer if need is None else outer & need
             v = F.coalesce(self.condition(c, df), F.lit(False))
-            out = v if out is None else F.when(out, True).otherwise(v)
+            out = v if out is None else out | v
+        self.open = outer
         return out
 
     # ---- judgements
@@ -157,18 +182,24 @@ class Compiler:
         c = self.column(ref, df)
         kind = self._type(c, df)
         if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-            return F.transform(c, lambda e: e["text"])
-        return c["text"] if isinstance(kind, T.StructType) else c
+            c = F.transform(c, lambda e: e["text"])
+        elif isinstance(kind, T.StructType):
+            c = c["text"]
+        return c if self.open is None else F.when(self.open, c)
+
+    def full(self, ref: n.FieldRef, df: DataFrame) -> Column:
+        """A collection's elements that hold anything."""
+        return F.filter(self.content(ref, df), lambda e: F.length(F.trim(e)) > 0)
 
     def judged(self, ref: n.FieldRef, text: str, judge: Judge, quantifier: str, negated: bool, df: DataFrame) -> Column:
         """The row's verdict: over a collection, that of its elements by the field's quantifier."""
         c = self.content(ref, df)
         if isinstance(self._type(c, df), T.ArrayType):
-            full = F.filter(c, lambda e: F.length(F.trim(e)) > 0)
+            full = self.full(ref, df)
             if quantifier == "ALL":
-                hit = (F.size(full) > 0) & F.forall(full, lambda e: judge.column(e, text))
+                hit = (F.size(full) > 0) & judge.every(full, text)
             else:
-                hit = F.when(F.size(full) > 0, F.exists(full, lambda e: judge.column(e, text)))
+                hit = F.when(F.size(full) > 0, judge.some(full, text))
             return ~hit if negated else hit
         hit = judge.column(c, text)
         return ~hit if negated else hit
@@ -224,10 +255,15 @@ class Compiler:
 
     def _retrieve(self, p: ir.Retrieve) -> DataFrame:
         df = self.node(p.child)
-        keys = [F.col(f"`{c}`") for c in df.columns[:1]]
-        if p.text in self.ctx.vectors:
-            return nearest(df, self.column(p.field, df), self.ctx.vectors[p.text], p.top_k, keys)
-        return token_overlap(df, self.column(p.field, df), p.text, p.top_k, keys)
+        # ties go by everything else a row shows, so they are stable
+        keys = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) and f.name != _name(p.field)]
+        vector = self.ctx.vectors.get(p.text)
+        top = nearest(df, self.column(p.field, df), vector, p.top_k, keys) if vector is not None else token_overlap(df, self.column(p.field, df), p.text, p.top_k, keys)
+        judge = self.ctx.judges.get(p.rerank_model)
+        if judge is not None:
+            # the k rows, the reranker's surest first
+            top = top.withColumn("_rerank", judge.confidence(self.content(p.field, top), p.text)).orderBy(F.desc_nulls_last("_rerank"), F.desc("score"), *keys).drop("_rerank")
+        return top.drop("score")
 
     def _expand(self, p: ir.Expand) -> DataFrame:
         df = self.node(p.child)
@@ -248,19 +284,24 @@ class Compiler:
         elif p.elements:
             # the expansion below is not built: some element meets, or fails, the judgement
             df = self.node(p.child.child)
-            c = F.filter(self.content(p.field, df), lambda e: F.length(F.trim(e)) > 0)
-            df = df.where(F.exists(c, lambda e: ~judge.column(e, p.text) if p.negated else judge.column(e, p.text)))
+            df = df.where(judge.some(self.full(p.field, df), p.text, not p.negated))
             c = self.content(p.field, df)
         else:
             df = self.node(p.child)
-            df = df.where(self.judged(p.field, p.text, judge, p.quantifier, p.negated, df))
+            hit = self.judged(p.field, p.text, judge, p.quantifier, p.negated, df)
+            second, c = self.ctx.oracle, self.content(p.field, df)
+            if p.escalation_fraction and second is not None and not isinstance(self._type(c, df), T.ArrayType):
+                again = self.judged(p.field, p.text, second, p.quantifier, p.negated, df)
+                df = escalate(df, hit, again, judge.confidence(c, p.text), p.escalation_fraction).where("verdict").drop("verdict")
+            else:
+                df = df.where(hit)
             c = self.content(p.field, df)
         return self._attach(df, c, judge, p) if self.ctx.evidence else df
 
     def _attach(self, df: DataFrame, c: Column, judge: Judge, p: ir.SemanticFilter) -> DataFrame:
         if isinstance(self._type(c, df), T.ArrayType):
-            c = F.try_element_at(F.filter(c, lambda e: judge.column(e, p.text)), F.lit(1))
-        sure = judge.confidence(c, p.text) if isinstance(judge, KeywordJudge) else F.lit(None).cast("double")
+            c = judge.first(F.filter(c, lambda e: F.length(F.trim(e)) > 0), p.text)
+        sure = judge.confidence(c, p.text)
         one = F.struct(F.lit(str(p.field)).alias("label"), F.left(c, F.lit(200)).alias("quote"), sure.alias("confidence"))
         before = F.col("_evidence") if "_evidence" in df.columns else F.array().cast("array<struct<label:string,quote:string,confidence:double>>")
         return df.withColumn("_evidence", F.array_append(before, one))
@@ -270,14 +311,18 @@ class Compiler:
         df = self.node(below)
         if isinstance(below, ir.SemanticFilter) and below.early_exit:
             return df
-        keys = [c for c in df.columns if "#element" not in c and c not in ("_ord", "_evidence")]
-        rest = [c for c in df.columns if c not in keys]
-        return df.groupBy(*(F.col(f"`{c}`") for c in keys)).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in rest)), F.col("_ord")).alias("_first")).drop("_first")
+        # a row is what it was before the expansion; two hashes stand for it, so no text is a key
+        keys = [F.col(f"`{c}`") for c in df.columns if "#element" not in c and c not in ("_ord", "_evidence")]
+        rows = df.withColumn("_row", F.struct(F.xxhash64(*keys), F.xxhash64(F.lit(1), *keys)))
+        first = rows.groupBy("_row").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.col("_ord")).alias("_first"))
+        kept = [c for c in df.columns if "#element" not in c and c != "_ord"]
+        return first.select(*(F.col("_first")[c].alias(c) for c in kept))
 
     def _union(self, p: ir.Union) -> DataFrame:
         """Branches share everything below the OR: one pass with a masked condition, nothing to dedup."""
         base = shared(p)
         df = self.node(base)
+        self.branches |= {(x.field, x.text): x for c in p.children for x in c.walk() if isinstance(x, ir.SemanticFilter)}
         return df.where(self.condition(p.condition, df))
 
     def _aggregate(self, p: ir.Aggregate) -> DataFrame:
@@ -304,10 +349,15 @@ class Compiler:
         return df.select(*cols)
 
     def _semantic_join(self, p: ir.SemanticJoin) -> DataFrame:
-        from brindle.operators.semjoin import blocked_join
-
+        """Pairs that share most words, of which the judge keeps those that the text fits together."""
         left, right = self.node(p.left), self.node(p.right)
-        return blocked_join(left, right, self.column(p.left_field, left), self.column(p.right_field, right), left.columns[0], right.columns[0], p.block_top_k)
+        a, b = left.columns[0], right.columns[0]
+        pairs = blocked_join(left, right, self.content(p.left_field, left), self.content(p.right_field, right), a, b, p.block_top_k)
+        both = left.join(pairs, a).join(right, b).withColumnRenamed("shared", "_shared")
+        if p.text.strip():
+            said = F.concat_ws("\n", self.content(p.left_field, both), self.content(p.right_field, both))
+            both = both.where(self.ctx.judge(p.model).column(said, p.text))
+        return both
 
 
 def _fold(items, f, join):

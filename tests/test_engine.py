@@ -183,22 +183,86 @@ def test_keyword_judge_is_null_on_blank(spark):
     assert [r[0] for r in df.select(KeywordJudge().column(df.t, "bond")).collect()] == [None, None, True]
 
 
-def test_legal_registry_checks_and_plans_three_modalities():
-    from brindle.catalog.legal import legal_registry
-
-    reg = legal_registry()
-    assert len(reg.tables) == 8 and len(reg.edges) == 7
-    c, k, o = TableRef("cluster", "c"), TableRef("docket", "k"), TableRef("opinion", "o")
-    f = lambda s: FieldRef(s.split(".")[0], tuple(s.split(".")[1:]))
-    source = Join(Comparison("=", f("o.cluster_id"), f("c.id")), Join(Comparison("=", f("c.docket_id"), f("k.id")), c, k), o)
-    where = And((Comparison("=", f("k.court_id"), "ca9"), Comparison(">=", f("c.date_filed"), Date("2015-01-01")), Fuzzy(f("o.plain_text"), "excessive force"), Fuzzy(Unnest(f("c.scan_pages")), "a photo"), Fuzzy(Unnest(f("k.argument")), "a concession")))
-    q = Query((f("c.id"), f("c.case_name")), source, where)
+def python_engine(engine) -> Engine:
+    judge = FunctionJudge(lambda contents, text: [all(w in c.lower() for w in text.split()) for c in contents], lambda contents, text: [0.1 if "pilot" in c else 0.9 for c in contents])
+    return Engine(engine.registry, engine.tables, {"*": judge})
+
+
+@pytest.mark.parametrize(
+    ("where", "want"),
+    [
+        (Fuzzy(D("talk"), "harbor"), {"old"}),
+        (Not(Fuzzy(D("talk"), "harbor")), {"new"}),
+        (Fuzzy(Unnest(D("talk")), "harbor"), {"old"}),
+        (Not(Fuzzy(Unnest(D("talk")), "harbor")), {"old", "new"}),
+        (Fuzzy(D("alltalk"), "harbor"), {"old"}),
+        (Fuzzy(D("chunks"), "slept"), {"old"}),
+        (Or((Comparison("=", D("kind"), "bill"), Fuzzy(D("body"), "slept"))), {"old", "edge"}),
+        (Or((Comparison("=", D("kind"), "bill"), Fuzzy(D("alltalk"), "harbor"))), {"old", "edge"}),
+        (Or((Fuzzy(D("body"), "slept"), Not(Fuzzy(Unnest(D("talk")), "harbor")))), {"old", "new"}),
+    ],
+)
+def test_python_judges_decide_like_the_native_one(engine, where, want):
+    assert ids(python_engine(engine), where) == want == ids(engine, where)
+
+
+def test_an_or_uses_the_judge_its_branch_is_bound_to(engine):
+    q = Query((D("id"),), TableRef("doc", "d"), Or((Comparison("=", D("kind"), "nope"), Fuzzy(D("body"), "zzz"))))
+    model = next(x.bound_model for x in engine.plan(q).plan.walk() if isinstance(x, ir.SemanticFilter))
+    own = Engine(engine.registry, engine.tables, {model: FunctionJudge(lambda contents, text: [True] * len(contents))})
+    assert {r[0] for r in own.query(q).collect()} == {"old", "new"}
+
+
+def test_what_exact_branches_decide_is_not_judged(engine, spark):
+    def judge(contents, text):
+        assert not any("slept" in c for c in contents)
+        return [False for _ in contents]
+
+    own = Engine(engine.registry, engine.tables, {"*": FunctionJudge(judge)})
+    assert ids(own, Or((Comparison("=", D("id"), "old"), Fuzzy(D("body"), "x")))) == {"old"}
+
+
+def test_evidence_of_collections_and_collapse(engine):
+    q = Query((D("id"),), TableRef("doc", "d"), Fuzzy(Unnest(D("talk")), "harbor"))
+    assert [e.quote for r in python_engine(engine).run(q, evidence=True).frame.collect() for e in r.evidence] == ["harbor"]
+    plan = engine.plan(q).plan
+    sem = next(x for x in plan.walk() if isinstance(x, ir.SemanticFilter))
+    got = engine.execute(ir.to_json(ir.edit(plan, sem.node_id, early_exit=False)), evidence=True).frame.collect()
+    assert [(r[0], [e.quote for e in r.evidence]) for r in got] == [("old", ["harbor"])]
+
+
+def test_the_least_sure_go_to_the_oracle(engine):
+    q = Query((D("id"),), TableRef("doc", "d"), Fuzzy(D("body"), "harbor"))
+    own = python_engine(engine)
+    own.judges["oracle"] = FunctionJudge(lambda contents, text: ["slept" in c for c in contents])
+    plan = own.plan(q).plan
+    sem = next(x for x in plan.walk() if isinstance(x, ir.SemanticFilter))
+    run = lambda f: {r[0] for r in own.execute(ir.edit(plan, sem.node_id, escalation_fraction=f)).frame.collect()}
+    assert run(None) == {"old", "new"} and run(1.0) == {"old"}
+
+
+def test_semantic_join_is_judged(engine):
+    scan = lambda a: ir.Scan(f"scan_{a}", TableRef("doc", a))
+    a, b = FieldRef("a", ("body",)), FieldRef("b", ("body",))
+    plan = lambda text: ir.Project("p", (FieldRef("a", ("id",)), FieldRef("b", ("id",))), ir.SemanticJoin("j", scan("a"), scan("b"), a, b, text, 5))
+    pairs = lambda text: {tuple(r) for r in engine.execute(plan(text)).frame.collect()}
+    assert pairs("") == {(x, y) for x in ("old", "new") for y in ("old", "new")}
+    assert pairs("slept") == pairs("") - {("new", "new")}
+
+
+def test_three_modalities_are_refined_ordered_and_cheaper():
+    s = FieldSpec
+    doc = {("id",): s("id"), ("org",): s("org"), ("body",): s("body", "TEXT", embeddable=True), ("scan",): s("scan", "IMAGE_SET", "page", 40), ("talk",): s("talk", "AUDIO", "segment", 100, parts=SEGMENTS), ("issued",): s("issued", "DATE")}
+    reg = Registry("three", [TableSpec("doc", ("id",), doc), TableSpec("org", ("id",), {("id",): s("id")})], [(("doc", ("org",)), ("org", ("id",)))])
+    source = Join(Comparison("=", D("org"), FieldRef("o", ("id",))), TableRef("doc", "d"), TableRef("org", "o"))
+    where = And((Comparison("=", FieldRef("o", ("id",)), "ca9"), Comparison(">=", D("issued"), Date("2015-01-01")), Fuzzy(D("body"), "a bond"), Fuzzy(Unnest(D("scan")), "a photo"), Fuzzy(Unnest(D("talk")), "a concession")))
+    q = Query((D("id"),), source, where)
     assert checks.validate(q, reg) == []
     planned = planner.optimize(q, reg)
     assert not planned.blocked and len(ir.pipeline(planned.plan)[0].pushed) == 2
     judged = [x for x in ir.pipeline(planned.plan) if isinstance(x, ir.SemanticFilter)]
     assert {x.judgement for x in judged} == {"SEM", "VISUAL", "AUDIO"} and sum(x.early_exit for x in judged) == 2
-    est = cost.Estimator(cost.Stats(rows={"cluster": 32_000}))
+    est = cost.Estimator(cost.Stats(rows={"doc": 32_000}))
     naive = planner.bind(planned.snapshots["lowered"], est)[0]
-    calls = lambda p: sum(s.model_calls for s in est.funnel(p))
+    calls = lambda p: sum(x.model_calls for x in est.funnel(p))
     assert calls(planned.plan) < calls(naive)
