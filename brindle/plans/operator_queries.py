@@ -177,7 +177,7 @@ def citation_edges(spark: SparkSession, root: str) -> DataFrame:
 def hierarchy_walk(spark: SparkSession, root: str) -> DataFrame:
     r = read(spark, root, "region").select(F.concat(F.lit("region:"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
     n = read(spark, root, "nation").select(F.concat(F.lit("nation:"), "n_nationkey").alias("id"), F.concat(F.lit("region:"), "n_regionkey").alias("parent"), F.col("n_name").alias("name"))
-    return hierarchy(r.unionByName(n), 4).select(F.col("id").alias("node"), "path")
+    return hierarchy(r.unionByName(n)).select(F.col("id").alias("node"), "path")
 
 
 @query("select w as word, count(*) as docs from (select distinct doc_id, unnest([x for x in regexp_split_to_array(lower(text), '[^a-z0-9]+') if length(x) > 0]) as w from documents) group by 1 having count(*) >= 10")

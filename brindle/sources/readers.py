@@ -17,10 +17,10 @@ class UnknownFormat(ValueError):
     pass
 
 
-def jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
+def jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None, sample: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(records, bad lines). Blank lines are skipped."""
-    if schema is None:
-        schema = spark.read.option("mode", "DROPMALFORMED").json(path).schema
+    if schema is None:  # inferred from a share of the lines, as a full pass would read everything twice
+        schema = spark.read.option("mode", "DROPMALFORMED").option("samplingRatio", sample).json(path).schema
         schema = T.StructType([f for f in schema.fields if f.name != "_corrupt_record"])
     full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     rows = spark.read.text(path).where(F.length(F.trim("value")) > 0)
@@ -37,21 +37,23 @@ def json_document(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def csv(spark: SparkSession, path: str, schema: str | None = None, escape: str = '"', json_cells: tuple[str, ...] = ()) -> DataFrame:
-    """A CSV with a header; empty cells are null; the named cells hold JSON."""
-    reader = spark.read.option("header", True).option("nullValue", "").option("escape", escape).option("multiLine", True)
+def csv(spark: SparkSession, path: str, schema: str | None = None, escape: str = '"', json_cells: tuple[str, ...] = (), multiline: bool = False) -> DataFrame:
+    """A CSV with a header; empty cells are null; the named cells hold JSON. Files are split between
+    tasks; only where cells hold line breaks (multiline) is each read by one."""
+    reader = spark.read.option("header", True).option("nullValue", "").option("escape", escape).option("multiLine", multiline)
     df = (reader.schema(schema) if schema else reader).csv(path)
     for c in json_cells:
         df = df.withColumn(c, F.try_parse_json(F.col(c)))
     return df
 
 
-def copy_dump(spark: SparkSession, path: str, schema: str | None = None, skip: int = 0, limit: int | None = None) -> DataFrame:
-    """A database's COPY export: backslash escapes, bz2 or plain; skip and limit by row for resuming."""
-    df = csv(spark, path, schema, escape="\\")
-    if skip:
-        df = df.offset(skip)
-    return df.limit(limit) if limit is not None else df
+def copy_dump(spark: SparkSession, path: str, schema: str | None = None, after: tuple[str, int] | None = None, limit: int | None = None, multiline: bool = True) -> DataFrame:
+    """A database's COPY export: backslash escapes, bz2 or plain. `after` (column, value) goes on behind
+    a row by its key, whatever order files are read in; limit keeps the next rows by that key."""
+    df = csv(spark, path, schema, escape="\\", multiline=multiline)
+    if after is not None:
+        df = df.where(F.col(after[0]).cast("bigint") > after[1])
+    return df if limit is None else (df.orderBy(F.col(after[0]).cast("bigint")) if after is not None else df).limit(limit)
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -69,10 +71,11 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_normalized(entities: dict[str, DataFrame], folder: str) -> dict[str, int]:
-    """Each entity as JSON lines; the report counts what was written, without a second pass."""
+    """Each entity as JSON lines, rows that were set aside under `quarantine`; the report counts what
+    was written, by entity, and what was skipped, without a second pass."""
     report = {}
     for name, df in entities.items():
         seen = Observation()
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(f"{folder}/{name}")
-        report[name] = int(seen.get["n"])
+        report["skipped" if name == "quarantine" else name] = int(seen.get["n"])
     return report

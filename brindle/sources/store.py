@@ -1,16 +1,22 @@
 """Tables in files: upserts, checkpoints, derived tables.
 
-A table is a folder of Parquet. An upsert writes the merged table beside the old one and then swaps
-a pointer file, so readers never see half of it.
+A table is a folder of versions, each a manifest of bucket folders. A write puts its files beside the
+old ones and then creates the next manifest under a name that must not exist yet: readers see the
+whole of one version or of the other, writers that collide fail and may try again, and frames over
+an older version stay good until vacuum() removes what no kept version names. Keyed tables are hashed
+into BUCKETS by key, and an upsert writes only the buckets that its rows fall into.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.session import settle, unsettle
+
 
 def _order(df: DataFrame, by: list[str]):
     """A sort key without nulls, so that null counts as the smallest."""
@@ -26,6 +32,14 @@ def first_wins(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(*(F.col(c) for c in by))).alias("_row")).select("_row.*")
 
 
+#: Buckets of a keyed table. More buckets: less is written again by a small upsert.
+BUCKETS = 64
+
+
+class ConcurrentWrite(RuntimeError):
+    """Another writer made the next version of the table first."""
+
+
 class Store:
     """Named tables under one folder, with keyed upserts and load checkpoints."""
 
@@ -37,38 +51,106 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _current(self, table: str) -> str | None:
-        fs, p = self._fs(f"{self.folder}/{table}/_current")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.folder}/{table}/_current").first()[0]
-
-    def read(self, table: str) -> DataFrame | None:
-        at = self._current(table)
-        return self.spark.read.parquet(f"{self.folder}/{table}/{at}") if at else None
+    def _versions(self, table: str) -> list[int]:
+        fs, p = self._fs(f"{self.folder}/{table}/_versions")
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _manifest(self, table: str, version: int | None = None) -> dict:
+        """{keys, parts: {bucket: [folders]}} of the newest, or a given, version; {} for no table."""
+        found = self._versions(table)
+        if not found:
+            return {}
+        fs, p = self._fs(f"{self.folder}/{table}/_versions/{found[-1] if version is None else version}")
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _publish(self, table: str, before: list[int], manifest: dict) -> None:
+        """The next version; fails if another writer has made it."""
+        fs, p = self._fs(f"{self.folder}/{table}/_versions/{before[-1] + 1 if before else 1}")
+        _, aside = self._fs(f"{self.folder}/{table}/_new-{uuid.uuid4().hex}")
+        stream = fs.create(aside, False)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        fs.mkdirs(p.getParent())
+        if fs.exists(p) or not fs.rename(aside, p):
+            fs.delete(aside, False)
+            raise ConcurrentWrite(table)
+
+    def _frame(self, table: str, parts: list[str]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", True).parquet(*(f"{self.folder}/{table}/{x}" for x in parts))
+
+    def read(self, table: str, version: int | None = None) -> DataFrame | None:
+        m = self._manifest(table, version)
+        return self._frame(table, sorted(x for some in m["parts"].values() for x in some)) if m else None
 
     def overwrite(self, table: str, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.folder}/{table}/{version}")
-        old = self._current(table)
-        self.spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{table}/_current")
-        if old:
-            fs, p = self._fs(f"{self.folder}/{table}/{old}")
-            fs.delete(p, True)
+        before, name = self._versions(table), f"p-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.folder}/{table}/{name}")
+        self._publish(table, before, {"keys": [], "parts": {"": [name]}})
 
     def upsert(self, table: str, df: DataFrame, keys: list[str]) -> None:
         """Rows of df replace stored rows of their key; within df the last loaded wins."""
-        old = self.read(table)
-        fresh = df.withColumn("_seq", F.lit(1)).withColumn("_at", F.monotonically_increasing_id())
-        both = fresh if old is None else fresh.unionByName(old.withColumn("_seq", F.lit(0)).withColumn("_at", F.lit(0).cast("bigint")), allowMissingColumns=True)
-        self.overwrite(table, last_wins(both, keys, ["_seq", "_at"]).drop("_seq", "_at"))
+        before, m = self._versions(table), self._manifest(table)
+        bucket = F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in keys)), F.lit(BUCKETS)).cast("int")
+        fresh = settle(df.withColumn("_seq", F.lit(1)).withColumn("_at", F.monotonically_increasing_id()).withColumn("_bucket", bucket))
+        touched = [str(r[0]) for r in fresh.select("_bucket").distinct().collect()]  # BUCKETS at most
+        if not touched:
+            unsettle(fresh)
+            return None if m else self.overwrite(table, df)
+        keyed = m.get("keys") == keys
+        old_parts = [x for b in (touched if keyed else m.get("parts", {})) for x in m["parts"].get(b, [])] if m else []
+        both = fresh
+        if old_parts:
+            old = self._frame(table, old_parts).withColumn("_seq", F.lit(0)).withColumn("_at", F.lit(0).cast("bigint")).withColumn("_bucket", bucket)
+            both = fresh.unionByName(old, allowMissingColumns=True)
+        name = f"p-{uuid.uuid4().hex}"
+        last_wins(both, keys, ["_seq", "_at"]).drop("_seq", "_at").repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.folder}/{table}/{name}")
+        unsettle(fresh)
+        fs, root = self._fs(f"{self.folder}/{table}/{name}")
+        made = {f.getPath().getName().split("=")[1]: [f"{name}/{f.getPath().getName()}"] for f in fs.listStatus(root) if f.isDirectory()}
+        parts = ({b: x for b, x in m["parts"].items() if b not in touched} if keyed else {}) | made
+        self._publish(table, before, {"keys": keys, "parts": parts})
+
+    def vacuum(self, table: str, keep: int = 1) -> None:
+        """Remove all but the newest versions, and files that none of those names."""
+        versions = self._versions(table)
+        kept = versions[-keep:]
+        live = {x.split("/")[0] + ("/" + x.split("/")[1] if "/" in x else "") for v in kept for some in self._manifest(table, v)["parts"].values() for x in some}
+        for v in versions[:-keep]:
+            fs, p = self._fs(f"{self.folder}/{table}/_versions/{v}")
+            fs.delete(p, False)
+        fs, root = self._fs(f"{self.folder}/{table}")
+        for f in fs.listStatus(root):
+            name = f.getPath().getName()
+            if name.startswith("p-") and not any(x.split("/")[0] == name for x in live):
+                fs.delete(f.getPath(), True)
 
     def append(self, table: str, df: DataFrame) -> None:
-        at = self._current(table)
-        if at is None:
-            self.overwrite(table, df)
-        else:
-            df.write.mode("append").parquet(f"{self.folder}/{table}/{at}")
+        before, m, name = self._versions(table), self._manifest(table), f"p-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.folder}/{table}/{name}")
+        # rows outside of the buckets: the next upsert deals the whole table out again
+        parts = {k: list(v) for k, v in m.get("parts", {}).items()}
+        parts.setdefault("", []).append(name)
+        self._publish(table, before, {"keys": [], "parts": parts})
+
+    def tables(self) -> list[str]:
+        fs, p = self._fs(self.folder)
+        return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()) if fs.exists(p) else []
+
+    def list(self, table: str, source_system: str | None = None, limit: int | None = None) -> DataFrame:
+        """Rows of a table, of one source system where it is named, in any order."""
+        df = self.get(table)
+        if source_system is not None:
+            where = "envelope.source_system" if "envelope" in df.columns else "source_system"
+            df = df.where(F.col(where) == source_system)
+        return df.limit(limit) if limit is not None else df
+
+    def clear_all(self) -> None:
+        for table in self.tables():
+            self.clear(table)
 
     def get(self, table: str, **key) -> DataFrame:
         df = self.read(table)
@@ -128,12 +210,3 @@ def unnested(df: DataFrame, key: str, array: str) -> DataFrame:
 def pairs(df: DataFrame, key: str, mapping: str) -> DataFrame:
     """(owner_id, key, value): the side table of a map column."""
     return df.select(F.col(key).alias("owner_id"), F.explode(F.map_entries(mapping)).alias("e")).select("owner_id", "e.key", "e.value")
-
-
-def physical_plan(df: DataFrame) -> list[dict[str, str]]:
-    """What each column becomes: a plain column, a side table, or nothing, and why."""
-    out = []
-    for f in df.schema.fields:
-        kind = f.dataType.typeName()
-        out.append({"field": f.name, "home": "side table" if kind == "array" else "pair table" if kind == "map" else "unmapped" if kind == "struct" else "column", "reason": "nested record" if kind == "struct" else kind})
-    return out

@@ -13,7 +13,9 @@ from brindle.operators.semjoin import blocked_join
 from brindle.session import numeric_key, settle
 from brindle.sources import readers
 from brindle.sources.normalize import KINDS, hierarchy, normalize
-from brindle.sources.store import Store, first_wins, last_wins, pairs, physical_plan, unnested
+from brindle.catalog.registry import FieldSpec, table_from_schema
+from brindle.sources import connectors, physical
+from brindle.sources.store import Store, first_wins, last_wins, pairs, unnested
 from brindle.streaming.ingest import deduplicated, sessions, stream_upsert, windowed_counts
 
 
@@ -107,7 +109,7 @@ def test_derived_tables(spark):
     df = spark.createDataFrame([(1, ["a", "b"], {"x": "y"})], "k int, arr array<string>, m map<string,string>")
     assert [tuple(r) for r in unnested(df, "k", "arr").collect()] == [(1, 0, "a"), (1, 1, "b")]
     assert [tuple(r) for r in pairs(df, "k", "m").collect()] == [(1, "x", "y")]
-    assert [p["home"] for p in physical_plan(df)] == ["column", "side table", "pair table"]
+    assert [h.home for h in physical.plan(df, table_from_schema("t", df.columns[0], df.schema))] == ["column", "array", "map"]
 
 
 def test_readers(spark, tmp_path):
@@ -165,3 +167,100 @@ def test_windows_on_a_stream(spark, root, tmp_path):
 
 def test_settle_writes_and_reads_back(spark):
     assert settle(spark.range(5)).count() == 5
+
+
+def test_excerpt_merges_windows_and_shows_several_hits(spark):
+    body = "start " + "x" * 5000 + " bond one bond two " + "y" * 5000 + " bond three"
+    got = one(spark, text.excerpt(F.col("a"), ["bond"], 20), a=body)
+    assert got.count("bond") == 3 and got.count("\n…\n") == 1 and one(spark, text.excerpt(F.col("a"), ["bond"]), a="short") == "short"
+
+
+def test_verdicts_may_nest(spark):
+    got = one(spark, text.verdict(F.col("a")), a='<think>{"match": false}</think> Sure: {"match": true, "confidence": 0.7, "rationale": {"why": {"x": 1}}} end')
+    assert got.match and got.confidence == 0.7
+    assert one(spark, text.verdict(F.col("a")), a="none {broken").match is False and one(spark, text.verdict(F.col("a")), a=None).confidence == 0.0
+
+
+def test_content_titles_links_and_json(spark):
+    assert tuple(one(spark, text.content(plain_text=F.lit(" "), summary=F.col("a"), title=F.lit("t")), a=" s ")) == ("summary", "s")
+    assert one(spark, text.content(plain_text=F.col("a")), a="") is None
+    assert one(spark, text.display_title(F.lit("Argument"), F.col("a"), F.lit("Doe v. Roe")), a="oral_argument") == "Doe v. Roe" and one(spark, text.display_title(F.lit(" "), F.col("a"), F.lit("x")), a="bill") == "Untitled"
+    assert one(spark, text.primary_url(F.lit(""), F.col("a"), F.lit("pdf")), a="page") == "page"
+    assert [m.kind for m in one(spark, text.media_links(pdf=F.lit("u"), scan=F.col("a"), audio=F.lit("v")), a="u")] == ["pdf", "audio"]
+    assert one(spark, text.fitted(F.col("a"), 420), a="x" * 100) == "x" * 14
+    assert one(spark, text.json_at(F.col("a"), "x", "0"), a='{"x": ["q"]}') == "q"
+    assert one(spark, text.json_with(F.col("a"), b=F.lit("2")), a='{"a": "1", "b": "0"}') == '{"a":"1","b":"2"}' and one(spark, text.json_with(F.col("a"), b=F.lit("2")), a=None) == '{"b":"2"}'
+    assert one(spark, text.strip_html(F.col("a")), a="<p>caf&eacute; &amp; &#8217;x&#8217;</p>") == "café & ’x’"
+    assert one(spark, text.media_content(F.col("a"), F.array(F.lit("i1")), F.lit("aud")), a="").ref == "i1"
+
+
+def test_deep_hierarchies_and_orphans(spark):
+    rows = [(str(i), None if i == 0 else str(i - 1), f"n{i}") for i in range(15)] + [("lost", "nowhere", "x"), ("c1", "c2", "a"), ("c2", "c1", "b")]
+    got = {r.id: r.path for r in hierarchy(spark.createDataFrame(rows, "id string, parent string, name string"), ">").collect()}
+    assert got["14"] == ">".join(f"n{i}" for i in range(15)) and len(got) == 15
+
+
+def test_upsert_writes_only_its_buckets_and_old_frames_stay_good(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.upsert("t", spark.range(500).selectExpr("id", "'a' as v"), ["id"])
+    old, first = store.read("t"), store._manifest("t")
+    store.upsert("t", spark.createDataFrame([(7, "b"), (999, "c")], "id bigint, v string"), ["id"])
+    second = store._manifest("t")
+    assert sum(first["parts"].get(b) != x for b, x in second["parts"].items()) <= 2
+    assert old.where("v = 'a'").count() == 500 and store.read("t").count() == 501 and store.read("t").where("id = 7").first().v == "b"
+    store.append("t", spark.createDataFrame([(7, "d")], "id bigint, v string"))
+    store.upsert("t", spark.createDataFrame([(8, "e")], "id bigint, v string"), ["id"])
+    assert store.read("t").count() == 501
+    store.vacuum("t")
+    assert store.read("t").count() == 501 and store.tables() == ["t"] and store.list("t", limit=3).count() == 3
+    store.clear_all()
+    assert store.read("t").count() == 0
+
+
+def test_connectors_page_retry_and_go_on(spark, tmp_path):
+    calls = []
+
+    def fetch(url, params):
+        calls.append(dict(params))
+        if len(calls) == 1:
+            return 503, None
+        return 200, {"bills": [{"number": str(params["offset"] + i)} for i in range(250 if params["offset"] < 500 else 3)]}
+
+    store, src = Store(spark, str(tmp_path / "s")), connectors.SOURCES["congress"]
+    ask = connectors.patient(fetch, sleep=lambda _: None)
+    assert connectors.land(spark, src, ask, str(tmp_path / "land"), store, most_pages=1) == 250
+    assert connectors.land(spark, src, ask, str(tmp_path / "land"), store) == 253
+    assert connectors.land(spark, src, ask, str(tmp_path / "land"), store) == 0
+    assert spark.read.json(str(tmp_path / "land")).count() == 503 and [c["offset"] for c in calls] == [0, 0, 250, 500]
+    report = connectors.load(spark, ["ecfr", "oyez", "none"], lambda u, p: (404, None), str(tmp_path / "l2"), store, {"ecfr": "k"})
+    assert report["ecfr"].startswith("failed") and report["oyez"].startswith("skipped") and report["none"] == "unknown source"
+
+
+def test_physical_layer(spark, tmp_path):
+    df = spark.createDataFrame([("a", ["x", "y"], {"k": "v"}, ("q", 1), "some words here")], "id string, tags array<string>, ext map<string,string>, env struct<url: string, n: int>, body string")
+    spec = table_from_schema("t", "id", df.schema, body=FieldSpec("body", "TEXT", embeddable=True))
+    homes = {h.field: h for h in physical.plan(df, spec)}
+    assert homes["env.n"].home == "generated" and homes["env.n"].index == "minmax" and homes["body"].index == "tokens" and homes["id"].index == "bloom"
+    assert "env__url" in physical.generated(df, list(homes.values())).columns and "tags: array" in physical.describe(df, spec)
+    store = Store(spark, str(tmp_path / "s"))
+    store.overwrite("t", df)
+    assert set(physical.apply(store, "t", spec, "id")) == {"t__tags__array", "t__ext__map", "t__body__tokens"}
+    assert physical.apply(store, "t", spec, "id") == [] and len(physical.apply(store, "t", spec, "id", rebuild=True)) == 3
+    assert store.read("t__body__tokens").count() == 3
+
+
+def test_more_record_kinds(spark):
+    from brindle.sources.normalize import citation_stubs, enriched_clusters, normalize, raw_edges
+
+    c = normalize("court", spark.createDataFrame([("ca9", "Ninth", "F", "scotus"), (" ", "x", "F", None)], "id string, full_name string, jurisdiction string, parent_court_id string"))
+    assert c["organization"].first().jurisdiction == "F" and c["organization"].first().parent_org_id and c["quarantine"].count() == 1
+    d = normalize("disclosure", spark.createDataFrame([("5", "9", "2019", "x.pdf", "4")], "id string, person_id string, year string, filepath string, page_count string"))["financial_disclosure"].first()
+    assert d.year == 2019 and d.page_count == 4 and d.media[0].url == "x.pdf" and d.amended is False
+    assert citation_stubs(spark.createDataFrame([("1", ["5  U.S. 137", ""])], "cluster_id string, citation array<string>"))["citation"].first().cited_as == "5 U.S. 137"
+    assert normalize("agency", spark.createDataFrame([("epa", "EPA")], "slug string, name string"))["organization"].first().name == "EPA"
+    assert normalize("committee", spark.createDataFrame([("hsag00", "Agriculture", "House")], "systemCode string, name string, chamber string"))["organization"].first().chamber == "house"
+    a = normalize("case", spark.createDataFrame([("12", "Doe v. Roe", "10-1", "Chicago", [("Ann B. Lee",)])], "ID string, name string, docket_number string, city string, advocates array<struct<name: string>>"))
+    assert a["proceeding"].first().location.city == "Chicago" and a["person"].first().name_last == "Lee" and a["organization"].count() == 1
+    e = enriched_clusters(spark.createDataFrame([("1", "d1"), ("2", None)], "id string, docket_id string"), spark.createDataFrame([("d1", "ca9")], "id string, court_id string"), spark.createDataFrame([("1", "7"), ("1", "3"), ("1", "7")], "citing_cluster_id string, cited_cluster_id string"))
+    assert {r.id: (r.jurisdiction, r.cites) for r in e.collect()} == {"1": ("ca9", ["3", "7"]), "2": (None, [])}
+    assert raw_edges(spark.createDataFrame([("1", "2", 1), ("x", "2", 1)], "citing_opinion_id string, cited_opinion_id string, depth int")).count() == 1
