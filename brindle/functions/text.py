@@ -15,7 +15,7 @@ ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"
 
 
 def _unescaped(body: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else html.unescape(t)), "string")(body)  # type: ignore[call-overload]
+    return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else html.unescape(t).replace("\xa0", " ")), "string")(body)  # type: ignore[call-overload]
 
 
 def collapse_space(body: Column) -> Column:
@@ -51,7 +51,8 @@ def labelled(limit: int = 6000, **parts: Column) -> Column:
 
 def lenient_date(text: Column) -> Column:
     """The date in a text's first ten characters, or null."""
-    return F.left(text, F.lit(10)).try_cast("date")
+    day = F.left(text, F.lit(10))
+    return F.when(day.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), day.try_cast("date"))
 
 
 def date_in_title(title: Column) -> Column:

@@ -35,12 +35,12 @@ def token_overlap(df: DataFrame, body: Column, text: str, k: int, keys: list[Col
 
 
 def tiers(df: DataFrame, body: Column, text: str, pool: int, keys: list[Column]) -> DataFrame:
-    """Rows with the whole phrase, then with all keywords, then with any; up to `pool` rows."""
+    """Rows with the whole phrase, then with all keywords, with any, and all others; up to `pool` rows."""
     low, said, kws = F.lower(body), phrase(text).lower(), [w.lower() for w in keywords(text)]
     has = [F.contains(low, F.lit(w)) for w in kws] or [F.lit(False)]
     every, some = has[0], has[0]
     for h in has[1:]:
         every, some = every & h, some | h
     whole = F.contains(low, F.lit(said)) if " " in said else F.lit(False)
-    tier = F.when(whole, 0).when(every, 1).when(some, 2)
-    return df.withColumn("tier", tier).where("tier is not null").orderBy("tier", *keys).limit(pool)
+    tier = F.when(whole, 0).when(every, 1).when(some, 2).otherwise(3)
+    return df.withColumn("tier", tier).orderBy("tier", *keys).limit(pool)

@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.catalog.testdata import testdata_registry
-from brindle.functions import ids, text
+from brindle.functions import text
 from brindle.operators import derive
-from brindle.operators.judge import KeywordJudge
 from brindle.operators.retrieve import nearest, tiers, token_overlap
-from brindle.operators.semjoin import blocked_join
 from brindle.session import read
 from brindle.sources import store
 from brindle.sources.normalize import edges, hierarchy
@@ -31,15 +29,10 @@ def query(sql: str | None = None):
     return keep
 
 
-@query("select text_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&rsquo;', '’'), '&lsquo;', '‘'), '&ldquo;', '“'), '&rdquo;', '”'), '&mdash;', '—'), '&ndash;', '–'), '&sect;', '§'), '&amp;', '&'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) as parsed from text_asset where html is not null")
-def html_strip(spark: SparkSession, root: str) -> DataFrame:
-    return read(spark, root, "text_asset").where("html is not null").select("text_id", text.strip_html(F.col("html")).alias("parsed"))
-
-
-@query("select doc_id, cast(i as bigint) as chunk_no, length(substring(text, 1 + 1000 * i, 1000)) as chars from (select doc_id, text, unnest(range((length(text) + 999) // 1000)) as i from documents where length(text) > 0)")
+@query("select doc_id, cast(i as bigint) as chunk_no, md5(substring(text, 1 + 1000 * i, 1000)) as body from (select doc_id, text, unnest(range((length(text) + 999) // 1000)) as i from documents where length(text) > 0)")
 def mat_chunk(spark: SparkSession, root: str) -> DataFrame:
     d = read(spark, root, "documents")
-    return d.select("doc_id", F.posexplode(derive.chunks(F.col("text"))).alias("n", "c")).select("doc_id", F.col("n").cast("bigint").alias("chunk_no"), F.length("c").cast("bigint").alias("chars"))
+    return d.select("doc_id", F.posexplode(derive.chunks(F.col("text"))).alias("n", "c")).select("doc_id", F.col("n").cast("bigint").alias("chunk_no"), F.md5("c").alias("body"))
 
 
 @query("select audio_id, cast(ord - 1 as bigint) as ord, s.speaker as speaker, s.text as text from (select audio_id, unnest(timestamp_index) as s, generate_subscripts(timestamp_index, 1) as ord from audio_asset)")
@@ -47,12 +40,6 @@ def expand_segments(spark: SparkSession, root: str) -> DataFrame:
     return read(spark, root, "audio_asset").select("audio_id", F.posexplode("timestamp_index").alias("ord", "s")).select("audio_id", F.col("ord").cast("bigint").alias("ord"), "s.speaker", "s.text")
 
 
-@query("select audio_id, min_by(s.text, ord) as first_text from (select audio_id, unnest(timestamp_index) as s, generate_subscripts(timestamp_index, 1) as ord from audio_asset) where contains(lower(s.text), 'statute') group by 1")
-def collapse_segments(spark: SparkSession, root: str) -> DataFrame:
-    e = expand_segments(spark, root)
-    return e.where(KeywordJudge().column(F.col("text"), "statute")).groupBy("audio_id").agg(F.min_by("text", "ord").alias("first_text"))
-
-
 @query("select r_name, count(*) as customers from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey group by 1")
 def join_path_auto(spark: SparkSession, root: str) -> DataFrame:
     """Customers by region, the joins found in the registry."""
@@ -101,24 +88,11 @@ def retrieve_overlap(spark: SparkSession, root: str) -> DataFrame:
     return token_overlap(read(spark, root, "documents"), F.col("text"), "the maritime surety of a warehouse arbitration", 25, [F.col("doc_id")]).select("doc_id", "score")
 
 
-@query("select doc_id, tier from (select doc_id, case when contains(lower(text), 'express warranty') then 0 when contains(lower(text), 'express') and contains(lower(text), 'warranty') then 1 when contains(lower(text), 'express') or contains(lower(text), 'warranty') then 2 end as tier from documents) where tier is not null order by tier, doc_id limit 200")
+@query("select doc_id, tier from (select doc_id, case when contains(lower(text), 'express warranty') then 0 when contains(lower(text), 'express') and contains(lower(text), 'warranty') then 1 when contains(lower(text), 'express') or contains(lower(text), 'warranty') then 2 else 3 end as tier from documents) order by tier, doc_id limit 200")
 def retrieve_tiered(spark: SparkSession, root: str) -> DataFrame:
     return tiers(read(spark, root, "documents"), F.col("text"), "an express warranty", 200, [F.col("doc_id")]).select("doc_id", "tier")
 
 
-@query("select doc_id from documents where doc_type = 'bill' union select doc_id from documents where court_id like 'norv%'")
-def union_branches(spark: SparkSession, root: str) -> DataFrame:
-    d = read(spark, root, "documents")
-    return d.where("doc_type = 'bill'").select("doc_id").unionByName(d.where("court_id like 'norv%'").select("doc_id")).distinct()
-
-
-@query()
-def semantic_join(spark: SparkSession, root: str) -> DataFrame:
-    """Each benchmark item with the documents that share most of its rare words."""
-    b, d = read(spark, root, "benchmark").select("item_id", "text"), read(spark, root, "documents").select("doc_id", "text")
-    return blocked_join(b, d, F.col("text"), F.col("text"), "item_id", "doc_id", 5)
-
-
 @query("select cluster_id, row_id from opinion_text where cluster_id is not null qualify row_number() over (partition by cluster_id order by case when opinion_type in ('010combined', '020lead') then 0 else 1 end, n_chars desc nulls last, row_id) = 1")
 def lead_row(spark: SparkSession, root: str) -> DataFrame:
     """The lead opinion of each cluster by the claimed length; no window, so no task holds a cluster."""
@@ -126,12 +100,6 @@ def lead_row(spark: SparkSession, root: str) -> DataFrame:
     return read(spark, root, "opinion_text").where("cluster_id is not null").groupBy("cluster_id").agg(F.min(first).alias("m")).select("cluster_id", "m.row_id")
 
 
-@query("select opinion_id, min_by(author_str, row_id) as first_author, cast(count(*) - 1 as bigint) as others from opinion_text where author_str is not null and opinion_id is not null group by 1")
-def first_and_rest(spark: SparkSession, root: str) -> DataFrame:
-    o = read(spark, root, "opinion_text").where("author_str is not null and opinion_id is not null")
-    return o.groupBy("opinion_id").agg(F.min_by("author_str", "row_id").alias("first_author"), (F.count(F.lit(1)) - 1).alias("others"))
-
-
 @query("select proceeding_id, status from proceeding qualify row_number() over (partition by proceeding_id order by ingested_at desc, status desc nulls last) = 1")
 def upsert_last(spark: SparkSession, root: str) -> DataFrame:
     return store.last_wins(read(spark, root, "proceeding"), ["proceeding_id"], ["ingested_at", "status"]).select("proceeding_id", "status")
@@ -142,24 +110,19 @@ def ignore_dups(spark: SparkSession, root: str) -> DataFrame:
     return store.first_wins(read(spark, root, "person"), ["person_id"], ["ingested_at", "name_last"]).select("person_id", "name_last")
 
 
-@query()
-def det_id(spark: SparkSession, root: str) -> DataFrame:
-    return read(spark, root, "documents").select("doc_id", ids.record_id(F.coalesce("source", F.lit("unknown")), F.col("doc_id").cast("string")).alias("id"))
-
-
 @query("select proceeding_id, left(array_to_string(list_filter([case when trim(title) <> '' then 'Title: ' || trim(title) end, case when trim(status) <> '' then 'Status: ' || trim(status) end], lambda x: x is not null), chr(10) || chr(10)), 6000) as summary from proceeding")
 def summary_concat(spark: SparkSession, root: str) -> DataFrame:
     return read(spark, root, "proceeding").select("proceeding_id", text.labelled(title=F.col("title"), status=F.col("status")).alias("summary"))
 
 
-@query("select raw_id, try_cast(left(date_filed, 10) as date) as filed from raw_proceeding where regexp_matches(date_filed, '^[0-9]{4}-[0-9]{2}-[0-9]{2}')")
+@query("select raw_id, case when regexp_full_match(left(date_filed, 10), '[0-9]{4}-[0-9]{2}-[0-9]{2}') then try_cast(left(date_filed, 10) as date) end as filed from raw_proceeding")
 def lenient_dates(spark: SparkSession, root: str) -> DataFrame:
-    return read(spark, root, "raw_proceeding").where(F.col("date_filed").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}")).select("raw_id", text.lenient_date(F.col("date_filed")).alias("filed"))
+    return read(spark, root, "raw_proceeding").select("raw_id", text.lenient_date(F.col("date_filed")).alias("filed"))
 
 
 @query("select doc_id, coalesce(date_issued, cast(ingested_at as date)) as on_date from documents")
 def doc_date_coalesce(spark: SparkSession, root: str) -> DataFrame:
-    return read(spark, root, "documents").select("doc_id", F.coalesce("date_issued", F.col("ingested_at").cast("date")).alias("on_date"))
+    return read(spark, root, "documents").select("doc_id", store.date_of(read(spark, root, "documents"), "ingested_at").alias("on_date"))
 
 
 @query("select cited_opinion_id, count(*) as n from cl_citation_map where regexp_matches(cited_opinion_id, '^[0-9]+$') group by 1")
@@ -180,9 +143,9 @@ def hierarchy_walk(spark: SparkSession, root: str) -> DataFrame:
     return hierarchy(r.unionByName(n)).select(F.col("id").alias("node"), "path")
 
 
-@query("select w as word, count(*) as docs from (select distinct doc_id, unnest([x for x in regexp_split_to_array(lower(text), '[^a-z0-9]+') if length(x) > 0]) as w from documents) group by 1 having count(*) >= 10")
+@query("select w as word, count(*) as docs from (select distinct doc_id, unnest([x for x in regexp_split_to_array(lower(text), '[^a-z0-9]+') if length(x) > 0]) as w from documents) group by 1")
 def inverted_index(spark: SparkSession, root: str) -> DataFrame:
-    return store.token_index(read(spark, root, "documents"), "doc_id", "text").groupBy("token").agg(F.count_distinct("owner_id").alias("docs")).where("docs >= 10").withColumnRenamed("token", "word")
+    return store.token_index(read(spark, root, "documents"), "doc_id", "text").groupBy("token").agg(F.count_distinct("owner_id").alias("docs")).withColumnRenamed("token", "word")
 
 
 @query("select c_mktsegment, c_custkey, rk from (select c_mktsegment, c_custkey, cast(row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) as int) as rk from customer) where rk <= 3")

@@ -32,6 +32,16 @@ def first_wins(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(*(F.col(c) for c in by))).alias("_row")).select("_row.*")
 
 
+# Where a record's date stands, the surest first.
+DATES = ("date_issued", "date_filed", "date", "effective_date", "envelope.effective_date")
+
+
+def date_of(df: DataFrame, *more: str):
+    """A record's date: the first of its date fields that is set, then of those named."""
+    have = [F.col(c).try_cast("date") for c in (*DATES, *more) if c.split(".")[0] in df.columns]
+    return F.coalesce(*have) if have else F.lit(None).cast("date")
+
+
 #: Buckets of a keyed table. More buckets: less is written again by a small upsert.
 BUCKETS = 64
 
