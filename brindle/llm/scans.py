@@ -104,8 +104,20 @@ def furniture_of(lines: list[str], recurring: set[str], known: set[str]) -> set[
 _HEADING = re.compile(r"\s*(?:[IVX]{1,5}|[A-H]|\d{1,2})\.(?:\s.*)?|\s*(?:\*\s*){3}\s*")
 
 
+def spans_in(line: str) -> list[tuple[int, int]]:
+    """Where a line's words stand, without the punctuation around them."""
+    out = []
+    for m in _TOKEN.finditer(line):
+        bare = m[0].lstrip(_STRIP)
+        start = m.end() - len(bare)
+        bare = bare.rstrip(_STRIP)
+        if bare and re.search(r"[^\W_]", bare):
+            out.append((start, start + len(bare)))
+    return out
+
+
 def words_in(line: str) -> list[str]:
-    return [w for t in _TOKEN.findall(line) if (w := t.strip(_STRIP)) and re.search(r"[^\W_]", w)]
+    return [line[a:b] for a, b in spans_in(line)]
 
 
 def hyphen_end(line: str) -> str | None:
@@ -377,7 +389,8 @@ def read_page(text: str, recurring: set[str], known: set[str], corrector: Correc
     carry: tuple[int, str] | None = (-1, before) if before else None  # line and head of a broken word
     for k, i in enumerate(body):
         line = lines[i]
-        own = words_in(line)
+        spans = spans_in(line)
+        own = [line[a:b] for a, b in spans]
         tail = hyphen_end(line)
         follow = words_in(lines[body[k + 1]])[:1] if k + 1 < len(body) else [after] if after else []
         broken = tail is not None
@@ -387,7 +400,7 @@ def read_page(text: str, recurring: set[str], known: set[str], corrector: Correc
         inner = own[:-1] if tail is not None and own else own
         head = None
         if carry is not None and own:
-            head, inner = own[0], inner[1:]
+            head, inner, spans = own[0], inner[1:], spans[1:]
         fixed = [corrector.word(w, d) for w, d in zip(inner, model.decode([w.lower() for w in inner]))]
         bad = any(a != b for a, b in zip(inner, fixed))
         if carry is not None and head is not None:
@@ -409,9 +422,8 @@ def read_page(text: str, recurring: set[str], known: set[str], corrector: Correc
             out.append((i, "misread", ""))
         if tail is not None and not broken and corrector.word(tail, model.decode([tail.lower()])[0]) != tail:
             out.append((i, "misread", ""))
-        for a, b in zip(inner, fixed):
-            if a != b:
-                line = line.replace(a, b, 1)
+        for (start, end), word in reversed(list(zip(spans, fixed))):
+            line = line[:start] + word + line[end:]
         out.append((i, "", line))
     return list(dict.fromkeys(out))
 

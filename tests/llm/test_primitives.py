@@ -31,3 +31,19 @@ def test_edits():
 
 def test_fold():
     assert fold("Łoskefmire ÖLV’é ß") == "loskefmire olv'e ss"
+
+
+def test_long_texts_are_halved(monkeypatch):
+    import random
+
+    from brindle.llm import aligning
+
+    rng = random.Random(9)
+    for _ in range(50):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randint(0, 60))] for _ in range(2))
+        whole = aligning.lcs_pairs(a, b)
+        monkeypatch.setattr(aligning, "MOST_BITS", 20)
+        halved = aligning.lcs_pairs(a, b)
+        monkeypatch.undo()
+        assert len(whole) == len(halved) and all(a[i] == b[j] for i, j in halved)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(halved, halved[1:]))

@@ -67,3 +67,14 @@ def test_page_order():
     assert scans.in_order([page(1, None, 1, 2, 3, 4), page(2, 102, 5, 6, 7, 8), page(3, 3, 9, 10, 11, 12), page(4, 3, 9, 10, 11, 13), page(5, 4, ok=False), page(6, 4, 14, 15, 16, 17)]) == [[0], [1], [2, 3], [5, 4]]
     # images that arrived backwards go by number
     assert scans.in_order([page(1, 3, 1, 2, 3, 4), page(2, 2, 5, 6, 7, 8), page(3, 1, 9, 10, 11, 12)]) == [[2], [1], [0]]
+
+
+def test_words_are_mended_where_they_stand():
+    counts = {"l there": 5000, "l thare": 5000, "l sat": 5000, "l he": 5, "l ha": 5000, "w There": 900}
+
+    class Fixed(scans.Corrector):
+        def word(self, shown, decoded):
+            return "ha" if shown == "he" else shown
+
+    rows = scans.read_page("there he (he) sat", set(), set(), Fixed(scans.Model(counts, 20_000)))
+    assert (0, "", "there ha (ha) sat") in rows
