@@ -87,3 +87,32 @@ def test_language_queries_match_duckdb(spark, root):
             cols = [d[0] for d in cur.description]
             want = sorted(tuple(str(r[cols.index(c)]) for c in sorted(cols)) for r in cur.fetchall())
             assert sorted(tuple(str(r[c]) for c in sorted(df.columns)) for r in df.collect()) == want, name
+
+
+def test_aliases_courts_and_topics_are_reconciled():
+    from brindle.lang.nodes import And, Comparison, FieldRef, Fuzzy, Like, Query, TableRef
+    from brindle.nl import compiler, reconcile
+
+    d = lambda f, a="d": FieldRef(a, (f,))
+    q = Query((FieldRef("documents", ("doc_id",)),), TableRef("documents", "d"), Comparison("=", FieldRef("x", ("lang",)), "en"))
+    fixed = reconcile.on_aliases(q, {"documents": {"doc_id", "lang"}})
+    assert fixed == Query((d("doc_id"),), TableRef("documents", "d"), Comparison("=", d("lang"), "en"))
+    assert reconcile.court_condition("opinions of the Ninth Circuit", d("court_id")) == [Comparison("=", d("court_id"), "ca9")]
+    assert reconcile.court_condition("Supreme Court opinions on bonds", d("court_id")) == [Comparison("=", d("court_id"), "scotus")]
+    assert reconcile.court_condition("Cases later reversed by the Supreme Court", d("court_id")) == [] and reconcile.reviewed("cases the Supreme Court reversed")
+    assert reconcile.topics('opinions about excessive force since 2015, with "qualified immunity"') == ["qualified immunity", "excessive force"]
+    bare = Query((d("doc_id"),), TableRef("documents", "d"))
+    judged = reconcile.with_topics("opinions about excessive force since 2015", bare, d("text"))
+    assert judged.where == Fuzzy(d("text"), "excessive force") and reconcile.coverage_errors("opinions about excessive force", judged) == []
+    other = Query((d("doc_id"),), TableRef("documents", "d"), And((Fuzzy(d("text"), "maritime liens"), Like(d("title"), "%force%"))))
+    assert [e["code"] for e in reconcile.coverage_errors("opinions about patents", other)] == ["missing_topic", "invented_topic"]
+    long = [{"role": "system", "content": "s" * 100}, *({"role": r, "content": "x" * 500} for r in ("user", "assistant") * 4), {"role": "user", "content": "now"}, {"role": "assistant", "content": "y"}]
+    kept = compiler.fit(long, 500)
+    assert kept[0] == long[0] and kept[-2:] == long[-2:] and len(kept) < len(long)
+
+
+def test_routes_by_rule():
+    from brindle.nl.compiler import route
+
+    assert route("find opinions about bonds") == "compile" and route("opinions since 2015") == "compile" and route("What is stare decisis doctrine?") == "answer"
+    assert route("What does qualified immunity law protect?") == "answer" and route("how do I bake bread") == "reject" and route("hi") == "reject"
