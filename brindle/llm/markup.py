@@ -3,8 +3,9 @@
 A text is read into an ordered tree by the reader of its family: containers (divisions, sections, lists,
 tables, as they nest) over blocks (heading, list item, code, formula, paragraph). Pages of one family
 and make-up are "one host": their wrapper is induced by simple tree matching, which pairs two trees
-node by node, level by level, in order, so that most nodes match. The smallest tree of a bounded
-sample of SAMPLE pages is the wrapper's shape; every distinct page of the host is then aligned to it,
+node by node, level by level, in order, so that most nodes match. Blocks are counted over all distinct
+pages; the page that holds most of those that most pages hold, the smallest of such pages, is the
+wrapper's shape; every distinct page of the host is then aligned to it,
 and the counts of all pages tell the wrapper's nodes apart: those that say the same on most pages are
 template, the others are slots. A page's blocks are read off its alignment: what fills slots, or
 has no node in the wrapper, is content; what matches a template node is furniture of the host.
@@ -24,6 +25,7 @@ as part of the one above them.
 from __future__ import annotations
 
 import html as entities
+import hashlib
 import json
 import re
 from collections import Counter
@@ -36,8 +38,8 @@ from pyspark.sql import functions as F
 
 from brindle.session import settle
 
-#: Pages a host's wrapper takes its shape from, and the share of all pages a template node is the same on.
-SAMPLE, CONSTANT = 64, 0.8
+#: The share of all pages a template node is the same on.
+CONSTANT = 0.8
 #: Hosts of fewer distinct pages have no wrapper.
 FEWEST = 3
 #: Levels of containers.
@@ -383,10 +385,18 @@ def match(a: Tree, b: Tree) -> list[tuple[Tree, Tree]]:
     return pairs
 
 
+def size_of(tree: Tree) -> int:
+    return 1 + sum(map(size_of, tree[2]))
+
+
+def signs(tree: Tree) -> list[int]:
+    """Hashes of a tree's distinct blocks."""
+    return sorted({int.from_bytes(hashlib.blake2b(f"{kind}\n{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True) for kind, text in blocks_of(tree)})
+
+
 def shape(trees: list[Tree]) -> Tree | None:
-    """The tree that a host's pages are aligned to: the smallest of a sample."""
-    size = lambda t: 1 + sum(map(size, t[2]))
-    return min(trees, key=lambda t: (size(t), json.dumps(t))) if len(trees) >= FEWEST else None
+    """The tree that a host's pages are aligned to: the first of its best ones."""
+    return trees[0] if len(trees) >= FEWEST else None
 
 
 def numbered(tree: Tree) -> dict[int, int]:
@@ -426,13 +436,13 @@ def host_of(tree: Tree, family: str) -> str:
 PRINT = {"heading": "# {}", "list_item": "- {}", "code": "```\n{}\n```", "formula": "$$ {} $$", "p": "{}"}
 
 
-_PARSED = "text_id bigint, h bigint, host string, family string, marked boolean, tree string"
+_PARSED = "text_id bigint, h bigint, host string, family string, marked boolean, tree string, size bigint, signs array<bigint>"
 
 
 def _parse_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         done = [parse(t) for t in pdf.text]
-        yield pd.DataFrame({"text_id": pdf.text_id, "h": pdf.h, "host": [host_of(t, f) for f, _, t in done], "family": [f for f, _, _ in done], "marked": [m for _, m, _ in done], "tree": [json.dumps(t, ensure_ascii=False) for _, _, t in done]})
+        yield pd.DataFrame({"text_id": pdf.text_id, "h": pdf.h, "host": [host_of(t, f) for f, _, t in done], "family": [f for f, _, _ in done], "marked": [m for _, m, _ in done], "tree": [json.dumps(t, ensure_ascii=False) for _, _, t in done], "size": [size_of(t) for _, _, t in done], "signs": [signs(t) for _, _, t in done]})
 
 
 def _pages(assets: DataFrame) -> DataFrame:
@@ -448,12 +458,18 @@ def _pages(assets: DataFrame) -> DataFrame:
 def wrappers(pages: DataFrame) -> dict[str, tuple[Tree, frozenset]]:
     """Each host's wrapper and the numbers of its template nodes."""
     own = pages.select("host", "h", "tree")
-    # the first pages of each host by hash: Spark keeps SAMPLE of each partition before the shuffle
-    first = F.row_number().over(Window.partitionBy("host").orderBy("h"))
-    sample: dict[str, dict[int, Tree]] = {}
-    for r in own.withColumn("n", first).where(F.col("n") <= SAMPLE).toLocalIterator():
-        sample.setdefault(r.host, {})[r.h] = json.loads(r.tree)
-    shapes = {host: t for host, some in sample.items() if (t := shape(list(some.values()))) is not None}
+    each = pages.select("host", "h", "size", "signs").dropDuplicates(["host", "h"]).select("host", "h", "size", F.explode("signs").alias("sign"))
+    hosts = pages.groupBy("host").agg(F.countDistinct("h").alias("pages"))
+    # only what most pages hold can be template, so the page to align to is one that holds most of it
+    constant = each.groupBy("host", "sign").agg(F.count(F.lit(1)).alias("n")).join(hosts, "host").where(F.col("n") >= CONSTANT * F.col("pages")).select("host", "sign")
+    held = each.join(constant, ["host", "sign"]).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+    # three pages at least hold what most pages of a host of three hold: Spark keeps FEWEST of each partition before the shuffle
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "size", "h"))
+    best = held.withColumn("place", place).where(F.col("place") <= FEWEST).select("host", "h", "place")
+    some: dict[str, dict[int, Tree]] = {}
+    for r in own.join(best, ["host", "h"]).toLocalIterator():
+        some.setdefault(r.host, {})[r.place] = json.loads(r.tree)
+    shapes = {host: t for host, trees in some.items() if (t := shape([trees[k] for k in sorted(trees)])) is not None}
     held = pages.sparkSession.sparkContext.broadcast(shapes)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -489,7 +505,7 @@ def cleaned(assets: DataFrame) -> DataFrame:
                 out.append((elements, "\n\n".join(PRINT[k].format(t) for k, t, c in blocks if c)))
             yield pd.DataFrame({"text_id": pdf.text_id, "family": pdf.family, "marked": pdf.marked, "elements": [e for e, _ in out], "text": [t for _, t in out]})
 
-    return pages.drop("h").mapInPandas(align, "text_id bigint, family string, marked boolean, elements array<struct<kind: string, text: string, content: boolean>>, text string")
+    return pages.drop("h", "size", "signs").mapInPandas(align, "text_id bigint, family string, marked boolean, elements array<struct<kind: string, text: string, content: boolean>>, text string")
 
 
 def found(assets: DataFrame) -> DataFrame:

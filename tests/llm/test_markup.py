@@ -87,3 +87,11 @@ def test_elements_that_most_pages_repeat_are_still_elements(spark):
     assert got == ["markup", "heading", "list_item", "list_item"]
     assert [r.kind for r in markup.found(df).where("text_id = 51").orderBy("elem_no").collect()] == ["markup", "heading"]
     assert "Same heading" not in markup.cleaned(df).where("text_id = 3").collect()[0].text
+
+
+def test_the_wrapper_has_what_most_of_all_pages_have(spark):
+    # one page in ten is bare: the smallest of any 64 pages says nothing of the template
+    full = lambda i: f"<div><ul><li>Home<li>Search</ul></div><div><h1>case {i}</h1><p>body of {i}</p></div><div><p>All rights reserved</p></div>"
+    rows = [(i, 1, None, full(i) if i % 10 else f"<div><p>bare {i}</p></div>", "en", None, "x", "y") for i in range(200)]
+    got = {r.text_id: r.text for r in markup.cleaned(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] == (f"# case {i}\n\nbody of {i}" if i % 10 else f"bare {i}") for i in range(200))
