@@ -8,33 +8,35 @@ language; its description length is the smallest of these sizes plus the chain's
 The shortest description wins; the unchanged text has no chain cost, so it stays unless a chain
 pays for itself.
 
-The dictionaries are the only fitted model: one per language, trained on a bounded sample of
-labelled rows (SAMPLE_DOCS a language, whole texts, at most SAMPLE_BYTES) in which no chain of
-multi-byte sequences applies. Scoring covers all rows and is a narrow map without a shuffle.
+The only fitted models are a dictionary and an alphabet per language, from all labelled rows in which
+no chain of multi-byte sequences applies, equal texts once. Letters are counted over all of them.
+Dictionaries are trained in parts of about PART_BYTES, then on the parts' dictionaries, level by level,
+until one is left, so that no task holds more than a part and the driver gets one for each language.
+Scoring covers all rows and is a narrow map without a shuffle.
 
 Defined results: null, empty and pure ASCII texts are clean; a text holding U+FFFD lost characters
-in a wrong decoding and is found although it can't be restored; a language without sample rows has
+in a wrong decoding and is found although it can't be restored; a language without such rows has
 no dictionary; without any, plain zstandard sizes decide; repeated rows each count; an empty table
 gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from brindle.session import spread
+from brindle.session import settle, spread
 
 LANGUAGES = ("en", "es", "fr", "de", "pl", "ru")
-#: Bounds of the dictionaries' training sample, per language.
-SAMPLE_DOCS = 800
-SAMPLE_BYTES = 4_000_000
+#: Text that one dictionary is trained on at once, and the size of a dictionary.
+PART_BYTES = 4_000_000
 DICTIONARY_BYTES = 96_000
 #: Characters kept on both sides of a non-ASCII run.
 CONTEXT = 20
@@ -51,8 +53,8 @@ UTF8_COST, SINGLE_COST = 1, 3
 
 #: Description cost of a character outside all alphabets, in bytes.
 ESCAPE = 2
-#: A character belongs to an alphabet from so many sample texts on.
-ALPHABET_DOCS = 3
+#: A character belongs to an alphabet from so many texts on, and from this share of the language's texts.
+ALPHABET_DOCS, ALPHABET_SHARE = 3, 3 / 800
 
 _BYTES = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}")
 _WINDOW = re.compile(rf"[^\n]{{0,{CONTEXT}}}[^\x00-\x7f](?:[^\n]{{0,{2 * CONTEXT}}}[^\x00-\x7f])*[^\n]{{0,{CONTEXT}}}")
@@ -201,43 +203,65 @@ _TELLING = ("cp1252", "mac_roman", "cp1250", "cp437", "cp850")
 
 
 def _plainly_garbled(text: str) -> bool:
-    """Whether a row is unfit as a sample of clean text."""
+    """Whether a row is unfit as an example of clean text."""
     return "�" in text or bool(_CONTROL.search(text)) or any(as_utf8(text, w) != text for w in _TELLING)
 
 
-def _keep_clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pdf[[not _plainly_garbled(t) for t in pdf.text]]
-
-
-def model_of(texts: list[str]) -> tuple[bytes, str]:
-    """Dictionary (at most DICTIONARY_BYTES) and alphabet of one language's sample texts."""
+def dictionary_of(texts: list[bytes]) -> bytes:
+    """Dictionary (at most DICTIONARY_BYTES) of texts, or of the contents of other dictionaries."""
     import zstandard as z
 
-    kept, left = [], SAMPLE_BYTES
-    for t in texts:
-        raw = t.encode("utf-8", "surrogatepass")
-        # long texts are cut into pieces for the trainer; all of the pieces are kept
-        if left > 0:
-            kept += [raw[i : i + 2000] for i in range(0, len(raw), 2000)]
-            left -= len(raw)
+    # long texts are cut into pieces for the trainer; all of the pieces are kept
+    kept = [raw[i : i + 2000] for raw in texts for i in range(0, len(raw), 2000)]
     try:
-        data = z.train_dictionary(DICTIONARY_BYTES, kept, level=3).as_bytes()
+        return z.train_dictionary(DICTIONARY_BYTES, kept, level=3).as_bytes()
     except z.ZstdError:  # too little text for a trained dictionary: its text itself serves
-        data = z.ZstdCompressionDict(b"".join(kept)[:DICTIONARY_BYTES] or b" " * 8, dict_type=z.DICT_TYPE_RAWCONTENT).as_bytes()
+        return z.ZstdCompressionDict(b"".join(kept)[:DICTIONARY_BYTES] or b" " * 8, dict_type=z.DICT_TYPE_RAWCONTENT).as_bytes()
+
+
+_PART = "lang string, raw binary, n bigint, letters array<string>, counts array<bigint>"
+
+
+def _train_part(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Dictionary of a part's clean texts, their number, and how many of them each letter is in."""
+    texts = sorted({t for t in pdf.text if not _plainly_garbled(t)})
     signs = Counter(c for t in texts for c in set(_FOREIGN.findall(t)))
-    return data, "".join(sorted(c for c, n in signs.items() if n >= ALPHABET_DOCS))
+    raw = dictionary_of([t.encode("utf-8", "surrogatepass") for t in texts])
+    return pd.DataFrame({"lang": [key[0]], "raw": [raw], "n": [len(texts)], "letters": [list(signs)], "counts": [list(signs.values())]})
+
+
+def _train_again(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"lang": [key[0]], "raw": [dictionary_of(sorted(map(bytes, pdf.raw)))]})
+
+
+def _dealt(rows: DataFrame, of: str) -> tuple[GroupedData, list[str]]:
+    """Rows grouped by language into parts of PART_BYTES, equal ones together, and the languages of one part."""
+    sizes = {r.lang: math.ceil(r.n / PART_BYTES) for r in rows.groupBy("lang").agg(F.sum(F.octet_length(of)).alias("n")).collect()}
+    parts = F.try_element_at(F.create_map(*[F.lit(x) for p in sizes.items() for x in p]), F.col("lang")) if sizes else F.lit(1)
+    return rows.groupBy("lang", F.pmod(F.xxhash64(of), parts).alias("part")), [x for x, n in sizes.items() if n == 1]
 
 
 def train(documents: DataFrame) -> dict[str, tuple[bytes, str]]:
-    """The model of each language, from a bounded sample of its rows."""
-    rows = documents.where(F.col("lang").isin(*LANGUAGES) & (F.length("text") > 0)).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    shares = {r.lang: min(1.0, 1.3 * SAMPLE_DOCS / r.n) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not shares:
+    """The model of each language, from all of its rows."""
+    rows = documents.where(F.col("lang").isin(*LANGUAGES) & (F.length("text") > 0)).select("lang", "text")
+    dealt, done = _dealt(rows, "text")
+    level = settle(dealt.applyInPandas(_train_part, _PART)).where("n > 0")
+    texts = {r.lang: r.n for r in level.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    if not texts:
         return {}
-    share = F.create_map(*[F.lit(x) for p in shares.items() for x in p])[F.col("lang")]
-    sample = rows.where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).select("lang", "text").mapInPandas(_keep_clean, "lang string, text string").limit(2 * SAMPLE_DOCS * len(LANGUAGES)).collect()
-    return {lang: model_of(sorted({r.text for r in sample if r.lang == lang})) for lang in sorted(shares)}
+    letters = level.select("lang", F.explode(F.arrays_zip("letters", "counts")).alias("x")).groupBy("lang", F.col("x.letters").alias("c")).agg(F.sum("x.counts").alias("n"))
+    alphabets = {x: "" for x in texts}
+    for r in sorted(letters.toLocalIterator()):
+        if r.n >= max(ALPHABET_DOCS, ALPHABET_SHARE * texts[r.lang]):
+            alphabets[r.lang] += r.c
+    level, data = level.select("lang", "raw"), {}
+    while True:
+        data |= {r.lang: bytes(r.raw) for r in level.where(F.col("lang").isin(done)).collect()}
+        level = level.where(~F.col("lang").isin(done))
+        if level.isEmpty():
+            return {x: (data[x], alphabets[x]) for x in sorted(texts)}
+        dealt, done = _dealt(level, "raw")
+        level = settle(dealt.applyInPandas(_train_again, "lang string, raw binary"))
 
 
 def restored(documents: DataFrame) -> DataFrame:

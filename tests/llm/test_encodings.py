@@ -45,3 +45,15 @@ def test_valid_sequences_come_back(encoding):
     text = "é — Łódź § привет"
     seen = "".join(enc.upper_half(encoding)[b - 128] if b > 127 else chr(b) for b in text.encode())
     assert enc.as_utf8(seen, encoding) == text
+
+
+def test_models_are_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(enc, "SAMPLE_DOCS", 5, raising=False)
+    monkeypatch.setattr(enc, "PART_BYTES", 20_000, raising=False)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    said = "la société soutient que"
+    rows = [(i, f"{said} {word()} {word()} {word()}" + (" œuvre" if i % 100 == 0 else " Ñàéò" if i == 7 else ""), "fr", "c", True) for i in range(1000)]
+    data, letters = enc.train(spark.createDataFrame(rows, SCHEMA))["fr"]
+    assert letters == "éœ" and said.encode() in data and len(data) <= enc.DICTIONARY_BYTES
+    assert enc.train(spark.createDataFrame(rows, SCHEMA).repartition(7)) == {"fr": (data, letters)}
